@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
+from millrace.llm import bpe, mixing, quality_rules, simhash, suffix_dedup, tiff
 from millrace.llm.texts import table
 
 
@@ -32,13 +32,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op7_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op7_byte_bpe, op9_tiff_media, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
