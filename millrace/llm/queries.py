@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, quality_rules, simhash, suffix_dedup, tiff
+from millrace.llm import bpe, licenses, mixing, quality_rules, simhash, suffix_dedup, tiff, url_rules
 from millrace.llm.texts import table
 
 
@@ -26,12 +26,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op7_byte_bpe, op9_tiff_media, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op6_url_rules, op7_byte_bpe, op8_license_scan, op9_tiff_media, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
