@@ -6,7 +6,7 @@ leftmost pair of least rank of each piece, and ends where no pair merges. An ord
 writes the ids out and joins them with the token table for the decoded bytes.
 
 Nothing is exchanged. A worker holds the merge table (100,000 rows), two bounded caches and one group
-of texts of a few MB; a cache that is full is dropped, which costs time only.
+of texts of a few MB; a cache that is full keeps what the group at hand uses, which costs time only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from millrace.llm.texts import small_batches, utf8
 
 #: Bytes of texts that are encoded together, entries of each cache, and bytes beyond which a piece is
 #: contracted by a heap: the recursion takes a round for each merge, as many as the piece has bytes.
-GROUP, CACHED, LONG = 2_000_000, 200_000, 400
+GROUP, CACHED, LONG = 4_000_000, 500_000, 400
 #: White space besides space and line feed, as the pattern's \s has it.
 _OTHER_SPACE = regex.compile("[\\t\\r\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
@@ -137,6 +137,8 @@ class Texts:
         self.stretch: dict[str, tuple[bytes, int, bytes]] = {}
 
     def _learn(self, pieces: set[str]) -> None:
+        if len(self.piece) > CACHED:
+            self.piece = {p: x for p in pieces if (x := self.piece.get(p))}
         new = [p for p in pieces if p not in self.piece]
         self.piece.update(zip(new, self.codec.encode([p.encode() for p in new]), strict=True))
 
@@ -147,10 +149,6 @@ class Texts:
         space between other characters, and such stretches are looked up whole. Texts with other runs of
         white space go piece by piece.
         """
-        if len(self.piece) > CACHED:
-            self.piece.clear()
-        if len(self.stretch) > CACHED:
-            self.stretch.clear()
         cut: list[tuple[list[str], list[str]]] = []
         whole: set[str] = set()
         loose: set[str] = set()
@@ -163,6 +161,8 @@ class Texts:
                 whole.update(parts)
             loose.update(head)
             cut.append((head, parts))
+        if len(self.stretch) > CACHED:  # what the group needs again stays
+            self.stretch = {s: x for s in whole if (x := self.stretch.get(s))}
         pieces = {s: self.find(f" {s}") for s in whole if s not in self.stretch}
         self._learn(loose.union(*pieces.values()))
         one = self.piece
