@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, licenses, mixing, quality_rules, simhash, suffix_dedup, tiff, url_rules
+from millrace.llm import bpe, licenses, mixing, quality_model, quality_rules, simhash, suffix_dedup, tiff, toxicity, url_rules
 from millrace.llm.texts import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +30,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -50,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op6_url_rules, op7_byte_bpe, op8_license_scan, op9_tiff_media, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op5_quality_model, op6_url_rules, op7_byte_bpe, op8_license_scan, op9_tiff_media, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
