@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.texts import per_row
+from millrace.llm.texts import per_row, small_batches
 from millrace.operators.components import connected_components
 from millrace.shared import write_table
 
@@ -196,17 +196,130 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket
     return signed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate group, with docs' columns.
+#: Bits by which two 256-bit fingerprints of five-word shingles differ at the most where texts share 0.8
+#: of their shingles: 39 are expected (cosine 0.89), 6 is their deviation, and 48 keeps 95 % of such pairs.
+SIMILAR_BITS = 48
+_LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
-    Where several rows have that doc_id, the one whose text hashes lowest stays.
+
+def _scatter(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 8192):
+        ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def sketch(text: bytes) -> tuple[int, int, bytes]:
+    """Fingerprints of a text's different words, of its word pairs, and 256 bits of its five-word shingles."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, bytes(32)
+    digest = xxhash.xxh64_intdigest
+    one = np.array([digest(w, SEED) for w in words], np.uint64)
+
+    def grams(n: int) -> np.ndarray:
+        n = min(n, len(one))
+        out = np.zeros(len(one) - n + 1, np.uint64)
+        for k in range(n):
+            out = _scatter(out * np.uint64(0x9FB21C651E98DF25) + one[k : len(one) - n + 1 + k])
+        return out
+
+    five = grams(5)
+    return _majority(np.unique(one)), _majority(np.unique(grams(2))), b"".join(_majority(_scatter(five ^ lane)).to_bytes(8, "little", signed=True) for lane in _LANES)
+
+
+def _similar(most: int):
+    """Sorted (key, h, bits) in; links (a, b) out that join each key's members as all close pairs would."""
+
+    def solve(h: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(h)
+        label = np.arange(n)
+        a, b = [], []
+        outside = np.arange(n)
+        for i in range(n - 1):
+            # Only members of other groups can add a link; in a dense group hardly any are left.
+            outside = outside[(outside > i)]
+            other = outside[label[outside] != label[i]]
+            if not len(other):
+                if (label == label[i]).all():
+                    break
+                continue
+            near = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most]
+            if len(near):
+                a += [h[i]] * len(near)
+                b += h[near].tolist()
+                label[np.isin(label, label[near])] = label[i]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, 4), np.uint64)]
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 4)
+            now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), bits]
+            held = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = np.searchsorted(held[0], held[0][-1])
+            yield from finish(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+        yield from finish(*held)
+
+    def finish(key, h, bits):
+        if len(key) < 2:
+            return
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        size = np.diff(np.append(first, len(key)))
+        left, right = [], []
+        pair = first[size == 2]
+        near = pair[np.bitwise_count(bits[pair] ^ bits[pair + 1]).sum(1) <= most]
+        left.append(h[near])
+        right.append(h[near + 1])
+        for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            a, b = solve(h[i : i + n], bits[i : i + n])
+            left.append(a)
+            right.append(b)
+        a, b = _forest(np.concatenate(left), np.concatenate(right))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
+    """h (hash of a text), doc_id (its least), component_id (the group's least): a row for each different text.
+
+    Texts that share 0.8 of their five-word shingles differ in few words, so their word and word-pair
+    fingerprints fall within the reach of the deletion variants although those of the shingles, some ten bits
+    apart, don't. Candidates come from the variants of both; 256 bits of shingles verify them.
+    """
+    fields = [("a", "bigint", pa.int64()), ("b", "bigint", pa.int64()), ("bits", "binary", pa.binary())]
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    drawn = per_row(hashed, ["doc_id", "h"], fields, lambda: sketch)
+    texts = write_table(drawn.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("a", "b", "bits")).alias("s")).select("h", "doc_id", "s.*"), "sketches")
+    keys = F.concat(_variants(F.col("a")), F.transform(_variants(F.col("b")), lambda k: k + F.lit(BITS << SLOT)))
+    keyed = texts.select(F.explode(keys).alias("key"), "h", "bits").repartition("key").sortWithinPartitions("key", "h")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    found = write_table(keyed.mapInArrow(_similar(most), "u bigint, v bigint").distinct(), "similar")
+    groups = connected_components(found)
+    of = texts.select("h", "doc_id").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return of.join(named, "component").select("h", "doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate group, with docs' columns: the one with the least doc_id.
+
+    Texts are near-duplicates if they share 0.8 or more of their five-word shingles, by estimate.
+    Where several texts have that doc_id, the one that hashes lowest stays; of equal rows one stays.
+    Null and wordless texts are one group.
     """
-    chosen = near_duplicates(docs, shingle).select(F.col("component_id").alias("__id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
-    least = kept.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("__h"), F.count("*").alias("__n"))
-    twice = least.filter("__n > 1").drop("__n")
-    if twice.isEmpty():
-        return kept
-    cols = docs.columns
-    marked = kept.withColumn("__h", F.xxhash64("text")).join(least.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__l")), F.col("doc_id").eqNullSafe(F.col("__d")))
-    return marked.filter("__h = __l").dropDuplicates(["doc_id", "__h"]).select(*cols)
+    groups = similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = write_table(groups.groupBy("component_id").agg(F.min("h").alias("h")), "kept")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["component_id"]) & (own == chosen["h"]), "left_semi")
+    small_batches(docs.sparkSession)
+    twice = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).count().filter("count > 1").limit(1)
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])

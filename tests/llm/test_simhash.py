@@ -106,3 +106,24 @@ def test_forest_joins_the_same_groups():
     a, b = np.array([5, 4, 9, 7]), np.array([4, 1, 8, 9])
     u, v = simhash._forest(a, b)
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {4: 1, 5: 1, 8: 7, 9: 7}
+
+
+def test_similar_groups_against_shingle_sets(spark):
+    rnd = random.Random(9)
+    vocabulary = ["w" + "".join(rnd.choices("abcdefghijk", k=5)) for _ in range(4000)]
+    rows, shingles = [], {}
+    for g in range(40):
+        base = rnd.choices(vocabulary, k=rnd.randint(150, 400))
+        for c in range(5):
+            words = list(base)
+            for _ in range(1 + c * len(base) // 100 // 2):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            rows.append((g * 5 + c, " ".join(words), "", 0))
+    for i, t, *_ in rows:
+        w = t.split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    like = [(a, b) for a in shingles for b in shingles if b < a and len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8]
+    assert len(like) > 100
+    assert np.mean([got[a] == got[b] for a, b in like]) >= 0.97
+    assert all(i // 5 == c // 5 for i, c in got.items())
