@@ -237,6 +237,14 @@ def chunks(t: Column, strategy: str = "fixed_size", size: int = 1000, overlap: i
 
 
 # ---- extraction ----------------------------------------------------------------------------------
+def _with_place(fixed: list[Column]):
+    return lambda x, place: F.struct(*fixed, place.alias("pos"), x.alias("name"))
+
+
+def _as_relation(name: str, a: str, b: str, confidence: float):
+    return lambda s, t: F.struct(F.lit(name).alias("relation"), F.trim(s).alias("source"), F.trim(t).alias("target"), F.lit(a).alias("source_type"), F.lit(b).alias("target_type"), F.lit(confidence).alias("confidence"))
+
+
 def extract_entities(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, name, entity_type, confidence: the first of each (lower name, type) by rule.
 
@@ -245,7 +253,9 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     found = []
     for i, (pattern, kind, confidence) in enumerate(ENTITY_RULES):
         hits = F.regexp_extract_all("text", F.lit(("(?i)" if kind in CASELESS else "") + pattern), F.lit(1))
-        found.append(F.transform(hits, lambda x, p, i=i, kind=kind, c=confidence: F.struct(F.lit(i).alias("rule"), p.alias("pos"), F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), r"^[.,;:]+|[.,;:]+$", "").alias("name"), F.lit(kind).alias("entity_type"), F.lit(c).alias("confidence"))))
+        names = F.transform(hits, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), r"^[.,;:]+|[.,;:]+$", ""))
+        fixed = [F.lit(i).alias("rule"), F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence")]
+        found.append(F.transform(names, _with_place(fixed)))
     rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.*")
     rows = rows.filter((F.length("name") >= 2) & ~F.lower("name").isin(*STOP_NAMES))
     first = F.min(F.struct("rule", "pos", "name", "confidence")).alias("m")
@@ -257,7 +267,7 @@ def extract_relations(docs: DataFrame, rules: tuple = RELATION_RULES) -> DataFra
     found = []
     for name, pattern, a, b, confidence in rules:
         sources, targets = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (1, 2))
-        found.append(F.zip_with(sources, targets, lambda s, t, n=name, a=a, b=b, c=confidence: F.struct(F.lit(n).alias("relation"), F.trim(s).alias("source"), F.trim(t).alias("target"), F.lit(a).alias("source_type"), F.lit(b).alias("target_type"), F.lit(c).alias("confidence"))))
+        found.append(F.zip_with(sources, targets, _as_relation(name, a, b, confidence)))
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.*").distinct()
 
 
