@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -20,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    Enough where tasks see the driver's folders (local mode, shared file systems); elsewhere give the
+    package to spark-submit with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def write_table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -28,6 +42,7 @@ def write_table(df: DataFrame, name: str = "t") -> DataFrame:
     cleaned, for the frame that is returned reads them lazily.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
