@@ -44,7 +44,7 @@ class Rule:
 RULES = (
     Rule("symbols", "10000 * n_symbols div greatest(n_words, 1)", 6, 2500),
     Rule("dup_lines", "10000 * n_dup_lines div greatest(n_lines, 1)", 6, 5000),
-    Rule("repeats", "10000 * n_repeat_words div greatest(n_words, 1)", 6, 2000),
+    Rule("repeats", "10000 * n_repeat_words div greatest(n_words, 1)", 6, 3000),
     Rule("capitals", "10000 * n_capitals div greatest(word_chars, 1)", 6, 3000),
     Rule("marks", "10000 * n_marks div greatest(n_words, 1)", 6, 5000),
 )

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.shared import ship
+
 #: Java's form of the class of word characters; Python's bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,6 +28,7 @@ def utf8(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
