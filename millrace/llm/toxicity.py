@@ -47,25 +47,23 @@ class Trie:
     def __init__(self, words: list[str]) -> None:
         self.root: dict = {}
         self.number = {w: i for i, w in enumerate(words)}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        # Words one edit apart share a form with at most one letter left out; all others needn't be run.
+        self.forms: set[str] = set()
         for w, i in self.number.items():
             if len(w) >= FUZZY:
                 node = self.root
                 for c in w:
                     node = node.setdefault(c, {})
                 node[""] = i
-                # One edit leaves the part before or after the word's middle as it is, but for a swap across it.
-                half = len(w) // 2
-                self.heads.update((w[:half], w[: half - 1] if half > 2 else w[:half]))
-                self.tails.update((w[half:], w[half + 1 :] if len(w) - half > 2 else w[half:]))
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+                self.forms.add(w)
+                self.forms.update(w[:k] + w[k + 1 :] for k in range(len(w)))
 
     def near(self, word: str) -> int | None:
         """The number of a lexicon word within one edit of ``word``, the least such; None if there is none."""
         if len(word) < FUZZY - 1:
             return None
-        if not any(word[:n] in self.heads for n in self.head_sizes) and not any(word[-n:] in self.tails for n in self.tail_sizes):
+        forms = self.forms
+        if word not in forms and not any([word[:k] + word[k + 1 :] in forms for k in range(len(word))]):
             return None
         best: int | None = None
         # States of the automaton: (letters of the word read, edits, letter owed by a swap).
