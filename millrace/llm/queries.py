@@ -61,5 +61,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_simhash_neardup, op3_suffix_dedup, op4_mixing, op5_quality_model, op6_url_rules, op7_byte_bpe, op8_license_scan, op9_tiff_media, op10_quality_rules)}
 
 
+#: The level at which sources that aren't capped are filled is found in order of cap over weight.
+_MIXING = r"""
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+sums as (select source, sum(size)::bigint as source_size, 2 * sum(size)::bigint as cap from sized group by source),
+ranked as (select *, [3, 1, 2][1 + (row_number() over (order by source is null, encode(source)) - 1) % 3] as weight from sums),
+run as (select *, coalesce(sum(cap) over (order by cap / weight, source rows between unbounded preceding and 1 preceding), 0) as before, sum(weight) over (order by cap / weight, source rows between current row and unbounded following) as after, sum(cap) over () as total from ranked),
+levels as (select (1.5 * (total / 2) - before) / after as level, cap, weight, row_number() over (order by cap / weight, source) as rn from run),
+chosen as (select level from levels where cap > level * weight order by rn limit 1),
+goal as (select source, source_size, least(cap::double, weight * (select level from chosen)) as target from ranked),
+rates as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate from sized s join goal g on s.source is not distinct from g.source)
+select doc_id, size, source_size, target, size * (floor(rate)::bigint + (('0x' || substr(sha256(coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0 < rate - floor(rate))::bigint) as taken from rates
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": _MIXING}
