@@ -6,7 +6,7 @@ below a support or confidence are dropped, as are those that a shorter rule make
 posted under their rarest token, and a URL that has that token is checked for the others.
 
 Scale: URLs collapse to distinct token sets before rules are matched, so a host with a third of all
-pages is matched once per set. FP-growth is distributed; its item sets have at most 12 tokens here.
+pages is matched once per set. FP-growth is distributed, and a URL has few tokens above the support.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def base_rule(rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column,
 def tokens() -> Column:
     """A URL's tokens from url, host and path: scheme, top-level domain, host labels and their parts, first path segment, extension, query keys, fragment.
 
-    Numbers are no tokens, and at most the first 12 tokens count, so that item sets stay short.
+    Numbers are no tokens. Rare tokens fall below the support and don't lengthen the mined item sets.
     """
     labels = F.filter(F.split("host", r"\."), lambda x: (x != "") & ~x.rlike(r"^\d+$"))
     parts = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), lambda x: F.length(x) > 2)
@@ -61,7 +61,7 @@ def tokens() -> Column:
         F.transform(labels, lambda x: F.concat(F.lit("label:"), x)),
         F.transform(keys, lambda x: F.concat(F.lit("key:"), x)),
     )
-    return F.array_sort(F.slice(F.array_distinct(F.array_compact(all_)), 1, 12))
+    return F.array_sort(F.array_distinct(F.array_compact(all_)))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
