@@ -43,11 +43,15 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return io.load(spark, f"{d}/{name}.parquet", "parquet")
 
 
-_graphs: dict[str, Graph] = {}
+_graphs: dict[tuple[str, str], Graph] = {}
 
 
 def g(spark: SparkSession, d: str) -> Graph:
-    return from_star_schema(spark, d)
+    """The order tables' graph; its plan is made once for an application and folder, the data is never cached."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _graphs:
+        _graphs[key] = from_star_schema(spark, d)
+    return _graphs[key]
 
 
 def nation_graph(spark: SparkSession, d: str) -> Graph:
