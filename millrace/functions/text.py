@@ -86,7 +86,7 @@ def line_endings(t: Column) -> Column:
 
 def empty_lines(t: Column) -> Column:
     """Runs of blank lines become one."""
-    return F.regexp_replace(t, r"\n[ \t]*(?:\n[ \t]*)+\n?", "\n\n")
+    return F.regexp_replace(t, r"\n[ \t]*(?:\n[ \t]*)++", "\n\n")
 
 
 def whitespace(t: Column) -> Column:
@@ -217,7 +217,7 @@ def exact_decimal(t: Column, scale: int = 18) -> Column:
 
 def history_citations(t: Column) -> Column:
     """The citations in a text's trailing brackets, split at semicolons: array of (year, chapter, section)."""
-    tail = F.regexp_extract(t, r"((?:\s*\[[^\]]*\])+)\s*$", 1)
+    tail = F.regexp_extract(t, r"((?:\s*\[[^\]]*\])++)\s*$", 1)
     inner = F.filter(F.transform(F.flatten(F.transform(F.regexp_extract_all(tail, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda x: F.split(x, ";"))), F.trim), lambda x: x != "")
     return F.transform(inner, lambda x: F.struct(F.regexp_extract(x, r"\b((?:1[89]|20)\d{2})\b", 1).alias("year"), F.regexp_extract(x, r"(?i)\bc(?:h|hapter)?\.?\s*(\d+)", 1).alias("chapter"), F.regexp_extract(x, r"(?:§|(?i:\bs(?:ec(?:tion)?)?\.?))\s*(\d+)", 1).alias("section")))
 
@@ -237,6 +237,16 @@ def chunks(t: Column, strategy: str = "fixed_size", size: int = 1000, overlap: i
 
 
 # ---- extraction ----------------------------------------------------------------------------------
+#: Java's matcher recurses for each turn of a repeated group, so runs of capitalised words are cut at this length.
+RUN = 60
+
+
+def _bounded(pattern: str) -> str:
+    """The rule with its open-ended runs of capitalised words bounded; a run that long is no name."""
+    word = r"(?:\s+[A-Z][a-z]+)"
+    return pattern.replace(f"{word}*", f"{word}{{0,{RUN}}}").replace(f"{word}+", f"{word}{{1,{RUN}}}")
+
+
 def _with_place(fixed: list[Column]):
     return lambda x, place: F.struct(*fixed, place.alias("pos"), x.alias("name"))
 
@@ -252,7 +262,7 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     """
     found = []
     for i, (pattern, kind, confidence) in enumerate(ENTITY_RULES):
-        hits = F.regexp_extract_all("text", F.lit(("(?i)" if kind in CASELESS else "") + pattern), F.lit(1))
+        hits = F.regexp_extract_all("text", F.lit(("(?i)" if kind in CASELESS else "") + _bounded(pattern)), F.lit(1))
         names = F.transform(hits, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), r"^[.,;:]+|[.,;:]+$", ""))
         fixed = [F.lit(i).alias("rule"), F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence")]
         found.append(F.transform(names, _with_place(fixed)))
@@ -266,7 +276,7 @@ def extract_relations(docs: DataFrame, rules: tuple = RELATION_RULES) -> DataFra
     """docs(doc_id, text) -> doc_id, relation, source, target, source_type, target_type, confidence."""
     found = []
     for name, pattern, a, b, confidence in rules:
-        sources, targets = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (1, 2))
+        sources, targets = (F.regexp_extract_all("text", F.lit(_bounded(pattern)), F.lit(g)) for g in (1, 2))
         found.append(F.zip_with(sources, targets, _as_relation(name, a, b, confidence)))
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.*").distinct()
 

@@ -169,7 +169,7 @@ def domain_lookup(index: DataFrame, domain: str, max_matches: int = 100) -> Data
 
 def json_structure(text: Column) -> dict[str, Column]:
     """Counts of keys, objects and arrays in JSON text outside strings, and whether it parses."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""')
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
     return {"n_keys": F.regexp_count(bare, F.lit(r'""\s*:')), "n_objects": F.regexp_count(bare, F.lit(r"\{")), "n_arrays": F.regexp_count(bare, F.lit(r"\[")), "valid": F.try_parse_json(text).isNotNull()}
 
 

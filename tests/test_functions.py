@@ -68,3 +68,13 @@ def test_extraction(spark):
     assert [(r.a, r.b) for r in T.sentence_cooccurrence(m, 1).collect()] == [("a", "b")] and T.sentence_cooccurrence(m, 0).count() == 3
     ids = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "id string, text string")
     assert len({r.id for r in T.disambiguate(ids, "id", "text").collect()}) == 3
+
+
+def test_long_runs_do_not_exhaust_the_matcher(spark):
+    long = "For " * 20000
+    docs = spark.createDataFrame([(1, long), (2, "\n" * 50000), (3, '"' + "a" * 100000 + '"'), (4, long + "Institute")], "doc_id int, text string")
+    assert T.extract_entities(docs).count() > 0 and T.extract_relations(docs).count() == 0
+    from millrace.sources import io
+
+    out = docs.select(F.length(T.normalise(F.col("text"))), F.size(T.history_citations(F.col("text"))), io.json_structure(F.col("text"))["n_keys"], F.length(T.html_text(F.col("text"))))
+    assert out.collect()[1][0] == 2
