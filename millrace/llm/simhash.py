@@ -196,9 +196,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket
     return signed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits by which two 256-bit fingerprints of five-word shingles differ at the most where texts share 0.8
-#: of their shingles: 39 are expected (cosine 0.89), 6 is their deviation, and 52 keeps 99 % of such pairs.
-SIMILAR_BITS = 52
+#: The least Jaccard similarity of near-duplicates, as a fraction of their five-word shingles.
+SIMILAR = (4, 5)
+#: Bits by which two 256-bit fingerprints of the shingle sets may differ for the sets to be compared at all:
+#: 39 are expected at 0.8 (cosine 0.89), 6 is their deviation, so 64 leaves out hardly any such pair.
+SIMILAR_BITS = 64
 _LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -214,23 +216,33 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def sketch(text: bytes) -> tuple[int, int, bytes]:
-    """Fingerprints of a text's different words, of its word pairs, and 256 bits of its five-word shingles."""
-    words = text.lower().split()
-    if not words:
-        return 0, 0, bytes(32)
+def _grams(one: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the different runs of n words (of all words if they are fewer), sorted."""
+    n = min(n, len(one))
+    out = np.zeros(len(one) - n + 1, np.uint64)
+    for k in range(n):
+        out = _scatter(out * np.uint64(0x9FB21C651E98DF25) + one[k : len(one) - n + 1 + k])
+    return np.unique(out)
+
+
+def _words(text: bytes) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    one = np.array([digest(w, SEED) for w in words], np.uint64)
+    return np.array([digest(w, SEED) for w in text.lower().split()], np.uint64)
 
-    def grams(n: int) -> np.ndarray:
-        n = min(n, len(one))
-        out = np.zeros(len(one) - n + 1, np.uint64)
-        for k in range(n):
-            out = _scatter(out * np.uint64(0x9FB21C651E98DF25) + one[k : len(one) - n + 1 + k])
-        return out
 
-    five = grams(5)
-    return _majority(np.unique(one)), _majority(np.unique(grams(2))), b"".join(_majority(_scatter(five ^ lane)).to_bytes(8, "little", signed=True) for lane in _LANES)
+def shingle_set(text: bytes) -> bytes:
+    """The text's different five-word shingles as sorted 64-bit hashes; no word: none."""
+    one = _words(text)
+    return _grams(one, 5).tobytes() if len(one) else b""
+
+
+def sketch(text: bytes) -> tuple[int, int, bytes]:
+    """Fingerprints of a text's different words, of its word pairs, and 256 bits of its set of five-word shingles."""
+    one = _words(text)
+    if not len(one):
+        return 0, 0, bytes(32)
+    five = _grams(one, 5)
+    return _majority(np.unique(one)), _majority(_grams(one, 2)), b"".join(_majority(_scatter(five ^ lane)).to_bytes(8, "little", signed=True) for lane in _LANES)
 
 
 def _similar(most: int):
@@ -288,23 +300,85 @@ def _similar(most: int):
     return run
 
 
+def _same(sets: list[np.ndarray], bits: np.ndarray, most: int) -> np.ndarray:
+    """Labels of the groups that all pairs with a Jaccard similarity of at least SIMILAR join."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    label = np.arange(n)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
+    for i in range(n - 1):
+        other = np.arange(i + 1, n)
+        other = other[label[other] != label[i]]
+        # Sets of too different sizes can't be alike.
+        low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        other = other[SIMILAR[1] * low >= SIMILAR[0] * high]
+        other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most]
+        if not len(other):
+            continue
+        mark[code[start[i] : start[i + 1]]] = True
+        both = np.array([np.count_nonzero(mark[code[start[j] : start[j + 1]]]) for j in other.tolist()])
+        mark[code[start[i] : start[i + 1]]] = False
+        near = other[SIMILAR[1] * both >= SIMILAR[0] * (size[other] + size[i] - both)]
+        if len(near):
+            label[np.isin(label, label[near])] = label[i]
+    return label
+
+
+def _verified(most: int):
+    """Sorted (component, h, bits, shingles) in; links (u, v) between a verified group's members and one of them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, bits, sets = None, [], [], []
+        for batch in batches:
+            for component, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != now:
+                    yield from finish(h, bits, sets)
+                    now, h, bits, sets = component, [], [], []
+                h.append(row[0])
+                bits.append(row[1])
+                sets.append(np.frombuffer(row[2], np.uint64))
+        yield from finish(h, bits, sets)
+
+    def finish(h, bits, sets):
+        if len(h) < 2:
+            return
+        label = _same(sets, np.frombuffer(b"".join(bits), np.uint64).reshape(-1, 4), most)
+        at = np.array(h, np.int64)
+        moved = label != np.arange(len(h))
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(at[moved]), pa.array(at[label[moved]])], names=["u", "v"])
+
+    return run
+
+
 def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
     """h (hash of a text), doc_id (its least), component_id (the group's least): a row for each different text.
 
     Texts that share 0.8 of their five-word shingles differ in few words, so their word and word-pair
     fingerprints fall within the reach of the deletion variants although those of the shingles, some ten bits
-    apart, don't. Candidates come from the variants of both; 256 bits of shingles verify them.
+    apart, don't. Candidates come from the variants of both, if 256 bits of the shingle sets aren't too far
+    apart. What they join is then compared by the sets themselves, and only pairs that share 0.8 are links.
+    Each text of such a candidate group is read once more; the group's sets are in one task.
     """
+    spark = docs.sparkSession
     fields = [("a", "bigint", pa.int64()), ("b", "bigint", pa.int64()), ("bits", "binary", pa.binary())]
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     drawn = per_row(hashed, ["doc_id", "h"], fields, lambda: sketch)
     texts = write_table(drawn.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("a", "b", "bits")).alias("s")).select("h", "doc_id", "s.*"), "sketches")
     keys = F.concat(_variants(F.col("a")), F.transform(_variants(F.col("b")), lambda k: k + F.lit(BITS << SLOT)))
     keyed = texts.select(F.explode(keys).alias("key"), "h", "bits").repartition("key").sortWithinPartitions("key", "h")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     found = write_table(keyed.mapInArrow(_similar(most), "u bigint, v bigint").distinct(), "similar")
-    groups = connected_components(found)
-    of = texts.select("h", "doc_id").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    loose = connected_components(found).withColumnRenamed("node", "h")
+    members = write_table(texts.select("h", "bits").join(loose, "h"), "candidates")
+    # Copies of a text fall together before the exchange.
+    once = hashed.groupBy("h").agg(F.first(F.coalesce("text", F.lit(""))).alias("text")).join(members, "h")
+    sets = per_row(once, ["component", "h", "bits"], [("shingles", "binary", pa.binary())], lambda: lambda text: (shingle_set(text),))
+    ordered = sets.repartition("component").sortWithinPartitions("component", "h")
+    sure = write_table(ordered.mapInArrow(_verified(most), "u bigint, v bigint"), "verified")
+    of = texts.select("h", "doc_id").join(sure.select(F.col("u").alias("h"), F.col("v").alias("component")), "h", "left").withColumn("component", F.coalesce("component", "h"))
     named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return of.join(named, "component").select("h", "doc_id", "component_id")
 
@@ -312,7 +386,7 @@ def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with docs' columns: the one with the least doc_id.
 
-    Texts are near-duplicates if they share 0.8 or more of their five-word shingles, by estimate.
+    Texts are near-duplicates if they share 0.8 or more of their different five-word shingles.
     Where several texts have that doc_id, the one that hashes lowest stays; of equal rows one stays.
     Null and wordless texts are one group.
     """

@@ -127,3 +127,26 @@ def test_similar_groups_against_shingle_sets(spark):
     assert len(like) > 100
     assert np.mean([got[a] == got[b] for a, b in like]) >= 0.97
     assert all(i // 5 == c // 5 for i, c in got.items())
+
+
+def test_only_exact_similarity_links(spark):
+    """Pairs at about 0.7, which 256 bits can't tell from 0.8, stay apart; those at 0.85 don't."""
+    rnd = random.Random(12)
+    vocabulary = ["w" + "".join(rnd.choices("abcdefghijk", k=5)) for _ in range(4000)]
+    rows, words = [], {}
+    for g in range(60):
+        base = rnd.choices(vocabulary, k=200)
+        changed = list(base)
+        # Each changed word, far from others, takes five of 196 shingles.
+        for k in range(7 if g % 2 else 3):
+            changed[10 + 20 * k] = "changed%d" % rnd.randrange(10**6)
+        for c, w in enumerate((base, changed)):
+            words[2 * g + c] = w
+            rows.append((2 * g + c, " ".join(w), "", 0))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for g in range(60):
+        a, b = 2 * g, 2 * g + 1
+        alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert (0.68 < alike < 0.75) if g % 2 else alike > 0.82
+        assert (got[a] == got[b]) == (g % 2 == 0)
