@@ -354,9 +354,9 @@ def _verified(most: int):
 
 
 def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
-    """h (hash of a text), doc_id (its least), component_id (the group's least): a row for each different text.
+    """h (hash of a text), doc_id (its least), component (the group, by a member's hash), component_id (its least doc_id).
 
-    Texts that share 0.8 of their five-word shingles differ in few words, so their word and word-pair
+    A row for each different text. Groups may share a component_id, null among them. Texts that share 0.8 of their five-word shingles differ in few words, so their word and word-pair
     fingerprints fall within the reach of the deletion variants although those of the shingles, some ten bits
     apart, don't. Candidates come from the variants of both, if 256 bits of the shingle sets aren't too far
     apart. What they join is then compared by the sets themselves, and only pairs that share 0.8 are links.
@@ -380,20 +380,20 @@ def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
     sure = write_table(ordered.mapInArrow(_verified(most), "u bigint, v bigint"), "verified")
     of = texts.select("h", "doc_id").join(sure.select(F.col("u").alias("h"), F.col("v").alias("component")), "h", "left").withColumn("component", F.coalesce("component", "h"))
     named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return of.join(named, "component").select("h", "doc_id", "component_id")
+    return of.join(named, "component").select("h", "doc_id", "component", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with docs' columns: the one with the least doc_id.
 
     Texts are near-duplicates if they share 0.8 or more of their different five-word shingles.
-    Where several texts have that doc_id, the one that hashes lowest stays; of equal rows one stays.
-    Null and wordless texts are one group.
+    Where several of its texts have that doc_id, the one that hashes lowest stays; of equal rows one stays.
+    A null doc_id is the least only where a group has no other. Null and wordless texts are one group.
     """
-    groups = similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = write_table(groups.groupBy("component_id").agg(F.min("h").alias("h")), "kept")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("s")
+    chosen = write_table(similar_groups(docs).groupBy("component").agg(least).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h")), "kept")
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["component_id"]) & (own == chosen["h"]), "left_semi")
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & (own == chosen["__h"]), "left_semi")
     small_batches(docs.sparkSession)
-    twice = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).count().filter("count > 1").limit(1)
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+    twice = docs.groupBy("doc_id", own.alias("h")).count().filter("count > 1").limit(1)
+    return kept if twice.isEmpty() else kept.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -150,3 +150,14 @@ def test_only_exact_similarity_links(spark):
         alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
         assert (0.68 < alike < 0.75) if g % 2 else alike > 0.82
         assert (got[a] == got[b]) == (g % 2 == 0)
+
+
+def test_keep_one_of_each_group_whatever_its_doc_ids(spark):
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(8)]
+    rows = [(None, t, None, None) for t in texts[:4]] + [(None, texts[0], None, None)]
+    rows += [(7, texts[4], None, None), (7, texts[5], None, None), (7, texts[5], None, None)]
+    rows += [(None, texts[6], None, None), (3, texts[6], None, None)]
+    rows += [(8, texts[7], None, None), (7, texts[7], None, None)]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (3, texts[6]), (7, texts[7])]
+    assert sorted(got, key=str) == sorted(want, key=str)
