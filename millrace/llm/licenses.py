@@ -1,9 +1,9 @@
 """License scans by a positional index of rare words, with DataFrame functions only.
 
-A template's words are postings (word, template, position). Of each file that has any such word, the
-words of highest IDF over the corpus are looked up; postings that agree on file position minus template
-position line up as one placement of the template. A placement with enough words is a hit if the file
-also has one of the template's mandatory key phrases word for word.
+A template's words are postings (word, template, position). A file that has one of a template's mandatory
+key phrases word for word is a candidate for it, and all its words of that template are looked up; postings
+that agree on file position minus template position line up as one placement of the template. A placement
+with enough words is a hit, and its words weigh by their IDF over the corpus.
 
 Scale: one pass over the texts writes a narrow table; only files with an index word give rows beyond
 their own, at most as many as they have such words. Templates are a constant of this module, so the
@@ -13,7 +13,6 @@ broadcast of their postings has a fixed size.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.shared import write_table
@@ -38,8 +37,8 @@ TEMPLATES = (
 )
 #: Words too common to be indexed, whatever the corpus.
 COMMON = frozenset("a and any are as at by in into is may not of or that the this to under use with without you be for on 0 2 3 4 v".split())
-#: Rare words looked up in a file, words a placement needs, and how far it may shift for inserted words.
-LOOKED_UP, ALIGNED, DRIFT = 8, 2, 4
+#: Words a placement needs, and how far it may shift for inserted words.
+ALIGNED, DRIFT = 2, 4
 
 
 def postings() -> list[tuple[str, int, int]]:
@@ -108,15 +107,14 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def placements(scanned: DataFrame) -> DataFrame:
-    """row, template, score: verified placements, best first placement a template; score is the aligned share of the IDF looked up."""
+    """row, template, score: verified placements, best first placement a template; score is the aligned share of the IDF of the template's words in the file."""
     spark = scanned.sparkSession
     total = scanned.count()
     hits = scanned.filter(F.size("found") > 0).select("row", "keys", F.explode("found").alias("x")).select("row", "keys", "x.*")
     by_word = hits.groupBy("row", "word").agg(F.count("*").alias("times"))
     idf = by_word.groupBy("word").agg(F.log(F.lit(float(total + 1)) / F.count("*")).alias("idf"))
     # A file has at most as many different words here as the index has, a constant.
-    best = W.partitionBy("row").orderBy(F.desc("idf"), "word")
-    chosen = by_word.join(idf, "word").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LOOKED_UP).select("row", "word", "idf")
+    chosen = by_word.join(idf, "word").select("row", "word", "idf")
     constant = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(i).alias("place")) for w, t, i in postings()))
     index = F.broadcast(spark.range(1).select(F.inline(constant)))
     placed = hits.join(chosen, ["row", "word"]).join(index, "word").filter(F.array_contains("keys", F.col("template")))
@@ -124,7 +122,7 @@ def placements(scanned: DataFrame) -> DataFrame:
     near = placed.withColumn("shift", F.explode(F.array(shift, shift + 1)))
     aligned = near.groupBy("row", "template", "shift", "word").agg(F.max("idf").alias("idf"))
     lined = aligned.groupBy("row", "template", "shift").agg(F.count("*").alias("n"), F.sum(F.round("idf", 6).cast("decimal(20,6)")).alias("mass")).filter(F.col("n") >= ALIGNED)
-    # Of the looked-up words that the template has at all.
+    # Of the file's words that the template has at all.
     own = chosen.join(index.select("word", "template").distinct(), "word").groupBy("row", "template").agg(F.sum(F.round("idf", 6).cast("decimal(20,6)")).alias("all"))
     return lined.groupBy("row", "template").agg(F.max("mass").alias("mass")).join(own, ["row", "template"]).select("row", "template", (F.col("mass").cast("double") / F.greatest(F.col("all").cast("double"), F.lit(1e-6))).alias("score"))
 

@@ -127,3 +127,18 @@ def test_license_scan(spark):
     assert "apache-2.0" in more[11] and "bsd" in more[14] and "gpl-3.0" in more[16] and "cc-by-nc" in more[2]
     assert more[13] == {""} and more[15] == {""} and got[13].score == 0
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_every_license_of_a_file_is_found(spark):
+    import itertools
+
+    mixed = "this source code form and its documentation files are free software any person may obtain a copy with or without modification see conditions. licensed under the GNU General Public License version 3"
+    three = [(" some words between ".join(t[1] for t in c), {t[0] for t in c}) for c in itertools.combinations(licenses.TEMPLATES, 3)]
+    assert len(three) == 84
+    files = [*three, (" ".join(t[1] for t in licenses.TEMPLATES), {t[0] for t in licenses.TEMPLATES}), (mixed, {"gpl-3.0"})]
+    # Other files make the IDFs differ.
+    rows = [(i, t, None, "", 1) for i, (t, _) in enumerate(files)] + [(1000 + i, "gnu general public license version", None, "", 1) for i in range(200)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, (t, labels) in enumerate(files):
+        assert labels <= got[i], (t[:80], labels - got[i])
+        assert got[i] <= labels | {label for _, label in licenses.BASE}
