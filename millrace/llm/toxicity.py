@@ -26,7 +26,8 @@ from millrace.shared import write_table
 
 #: Bounds of what is learned from: labelled rows, and words of the lexicon.
 FIT_ROWS, LEXICON = 20_000, 2_000
-#: A word's support in labelled texts, its least log odds, and the length from which it may be misspelt.
+#: A word's support in labelled texts, its least log odds, and the length from which any token may be a misspelling
+#: of it; of a shorter word (three letters at least), only tokens that no clean labelled text has.
 SUPPORT, ODDS, FUZZY = 4, 1.5, 5
 #: Tokens to either side that make a match's context, and entries of a task's cache.
 CONTEXT, CACHED = 5, 300_000
@@ -44,25 +45,26 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class Trie:
     """The lexicon as nested dictionaries; the key "" holds a word's number."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], known: frozenset[str] = frozenset()) -> None:
         self.root: dict = {}
+        self.known = known
+        self.short = {i: w for i, w in enumerate(words) if len(w) < FUZZY}
         self.number = {w: i for i, w in enumerate(words)}
         # Words one edit apart share a form with at most one letter left out; all others needn't be run.
         self.forms: set[str] = set()
         for w, i in self.number.items():
-            if len(w) >= FUZZY:
-                node = self.root
-                for c in w:
-                    node = node.setdefault(c, {})
-                node[""] = i
-                self.forms.add(w)
-                self.forms.update(w[:k] + w[k + 1 :] for k in range(len(w)))
+            node = self.root
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = i
+            self.forms.add(w)
+            self.forms.update(w[:k] + w[k + 1 :] for k in range(len(w)))
 
     def near(self, word: str) -> int | None:
         """The number of a lexicon word within one edit of ``word``, the least such; None if there is none."""
-        if len(word) < FUZZY - 1:
+        if len(word) < 2:
             return None
-        forms = self.forms
+        forms, barred = self.forms, self.short if word in self.known else ()
         if word not in forms and not any([word[:k] + word[k + 1 :] in forms for k in range(len(word))]):
             return None
         best: int | None = None
@@ -70,7 +72,7 @@ class Trie:
         stack: list[tuple[dict, frozenset]] = [(self.root, _closed({(0, 0, "")}, word))]
         while stack:
             node, states = stack.pop()
-            if "" in node and any(e <= 1 and not owed and len(word) - i + e <= 1 for i, e, owed in states) and (best is None or node[""] < best):
+            if "" in node and node[""] not in barred and any(e <= 1 and not owed and len(word) - i + e <= 1 for i, e, owed in states) and (best is None or node[""] < best):
                 best = node[""]
             for c, child in node.items():
                 if c and (after := _step(states, c, word)):
@@ -106,19 +108,23 @@ def _step(states: frozenset, c: str, word: str) -> frozenset:
 class Lexicon:
     words: list[str]
     odds: list[float]
+    #: Words of clean labelled texts that are as short as misspellings of the lexicon's short words.
+    known: frozenset[str] = frozenset()
 
 
 def learn_lexicon(docs: DataFrame, sample: DataFrame) -> Lexicon:
-    """Words of sampled texts with the label's odds. Texts that begin alike count once, as copies do."""
-    texts = docs.join(F.broadcast(sample), "doc_id").select("y", F.col("text"), F.xxhash64(F.substring("text", 1, 60)).alias("family")).filter("text is not null")
-    words = texts.select("y", "family", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    counts = words.filter(F.length("word").between(3, 40)).groupBy("word").agg(F.approx_count_distinct(F.when(F.col("y") == 1, F.col("family")), 0.02).alias("t"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
-    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.countDistinct("family").alias("n")).collect()}
+    """Words of sampled texts with the label's odds. Equal texts count once, with either label."""
+    rows = docs.join(F.broadcast(sample), "doc_id").filter("text is not null")
+    texts = rows.select("y", "text", F.xxhash64("text").alias("family")).dropDuplicates(["y", "family"])
+    words = texts.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+    counts = words.filter(F.length("word").between(2, 40)).groupBy("word").agg(F.count(F.when(F.col("y") == 1, 1)).alias("t"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
+    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     t_all, n_all = sizes.get(1, 0) + 1.0, sizes.get(0, 0) + 1.0
     odds = F.log((F.col("t") + 0.5) / t_all) - F.log((F.col("n") + 0.5) / n_all)
-    best = counts.filter(F.col("t") >= SUPPORT).withColumn("odds", F.round(odds, 4)).filter(F.col("odds") >= ODDS)
+    best = counts.filter((F.length("word") >= 3) & (F.col("t") >= SUPPORT)).withColumn("odds", F.round(odds, 4)).filter(F.col("odds") >= ODDS)
     rows = best.orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(LEXICON).collect()
-    return Lexicon([r["word"] for r in rows], [float(r["odds"]) for r in rows])
+    known = counts.filter((F.length("word") <= FUZZY) & (F.col("n") > 0)).select("word").collect()
+    return Lexicon([r["word"] for r in rows], [float(r["odds"]) for r in rows], frozenset(r["word"] for r in known))
 
 
 FEATURES = ("aimed", "quoted", "misspelt", "kinds", "density", "dense_window", "addressed")
@@ -128,7 +134,7 @@ class Matcher:
     """Features of one text: FEATURES in order."""
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.odds, self.trie = lexicon.odds, Trie(lexicon.words)
+        self.odds, self.trie = lexicon.odds, Trie(lexicon.words, lexicon.known)
         self.cache: dict[str, int] = {}
 
     def code(self, token: str) -> int:

@@ -100,3 +100,18 @@ def test_normal_equations(spark):
     a, b = quality_model.normal_equations(rows, kernel)
     f = kernel(x)
     assert np.allclose(a, f.T @ f, atol=1e-6) and np.allclose(b, f.T @ y, atol=1e-6)
+
+
+def test_short_words_are_misspelt_too(spark):
+    m = toxicity.Matcher(toxicity.Lexicon(["scum", "moron"], [4.0, 3.0], frozenset({"scam", "sum"})))
+    f = lambda t: m.features(t.encode())[toxicity.FEATURES.index("misspelt")]
+    assert [f(t) for t in ("scumm", "sccum", "scmu", "scm", "scim", "mroon")] == [4, 4, 4, 4, 4, 3]
+    assert [f(t) for t in ("scam", "sum", "sc", "scuffs")] == [0, 0, 0, 0]
+
+
+def test_texts_with_a_common_header_count_each(spark):
+    head = "the same header stands before every text of this source and is long "
+    rows = [(i, head + f"scum t{i}") for i in range(6)] + [(10 + i, head + f"fine {i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sample = spark.createDataFrame([(i, int(i < 10)) for i, _ in rows], "doc_id bigint, y int")
+    assert toxicity.learn_lexicon(docs, sample).words == ["scum"]
