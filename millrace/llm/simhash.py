@@ -167,8 +167,8 @@ def links(fps: DataFrame, max_bits: int = 4, bucket: int = 1024) -> DataFrame:
     """
     if max_bits != 4:
         raise ValueError("the three segments are complete for a distance of exactly up to 4 bits")
+    small_batches(fps.sparkSession)
     keyed = fps.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     found = write_table(keyed.mapInArrow(_verify(max_bits, bucket), "a bigint, b bigint").distinct(), "links")
     sure = found.filter("b is not null")
     crowd = found.filter("b is null").select(F.col("a").alias("fp"))
@@ -369,7 +369,6 @@ def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
     texts = write_table(drawn.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("a", "b", "bits")).alias("s")).select("h", "doc_id", "s.*"), "sketches")
     keys = F.concat(_variants(F.col("a")), F.transform(_variants(F.col("b")), lambda k: k + F.lit(BITS << SLOT)))
     keyed = texts.select(F.explode(keys).alias("key"), "h", "bits").repartition("key").sortWithinPartitions("key", "h")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     found = write_table(keyed.mapInArrow(_similar(most), "u bigint, v bigint").distinct(), "similar")
     loose = connected_components(found).withColumnRenamed("node", "h")
     members = write_table(texts.select("h", "bits").join(loose, "h"), "candidates")
@@ -394,6 +393,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = write_table(similar_groups(docs).groupBy("component").agg(least).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h")), "kept")
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & (own == chosen["__h"]), "left_semi")
-    small_batches(docs.sparkSession)
     twice = docs.groupBy("doc_id", own.alias("h")).count().filter("count > 1").limit(1)
     return kept if twice.isEmpty() else kept.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")

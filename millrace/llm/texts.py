@@ -14,8 +14,8 @@ from millrace.shared import ship
 #: Java's form of the class of word characters; Python's bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch: texts may be long, and a Python worker holds a batch at a time.
-BATCH_ROWS = 1000
+#: Bytes and rows of an Arrow batch, the same for every operator: settings are read when a plan runs, not when it is made.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ def utf8(text: Column) -> Column:
 def small_batches(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def per_row(docs: DataFrame, keep: list[str], fields: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable[[bytes], tuple]]) -> DataFrame:

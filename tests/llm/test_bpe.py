@@ -40,11 +40,42 @@ def test_as_the_library_does_and_back(spark, own):
     assert all(back[i] == (t or "") for i, t, *_ in rows)
 
 
-def test_heap_and_recursion_agree():
+def slow(codec, piece):
+    """The ids of a piece: the leftmost pair of least rank, again and again."""
+    t = [bytes([b]) for b in piece]
+    while pairs := [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(t, t[1:], strict=False)) if a + b in codec.ranks]:
+        _, i = min(pairs)
+        t[i : i + 2] = [t[i] + t[i + 1]]
+    return [codec.ranks[x] for x in t]
+
+
+def test_frames_and_whole_pieces_agree():
     codec = bpe.Codec(PATH)
     rnd = random.Random(1)
-    pieces = list({bytes(rnd.choices(b" abcdefghinorstu", k=rnd.randint(1, 60))) for _ in range(300)})
-    assert [codec._long(p) for p in pieces] == codec.encode(pieces)
+    pieces = list({bytes(rnd.choices(letters, k=rnd.randint(1, 180))) for letters in (b" abcdefghinorstu", b"etaoinshrdlu", b"at", b"a") for _ in range(60)})
+    for p, (ids, n, back) in zip(pieces, codec.encode(pieces), strict=True):
+        assert [int(i) for i in ids.split()] == slow(codec, p) and n == len(ids.split()) and back == p
+
+
+def test_long_pieces_go_in_blocks(own):
+    texts = bpe.Texts(PATH, tokenizers.PATTERN)
+    texts.codec.block = 3000
+    rnd = random.Random(2)
+    words = [w for w in "the quick brown foxes jumped over lazy dogs while reading interesting documentation about transformers and international organisations".split()]
+    for t in ("ha" * 10_000, "a" * 15_001, "".join(rnd.choices(words, k=1500)), "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=60_000))):
+        (parts,) = texts.encode([t])
+        assert b" ".join(p[0] for p in parts) == " ".join(map(str, own.encode_ordinary(t))).encode()
+
+
+def test_long_texts_of_many_different_words(spark, own):
+    rnd = random.Random(4)
+    made = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyzäé", k=rnd.randint(4, 14))) for _ in range(400_000)), "\t" + "x; " * 300_000, " " * 20_000 + "end"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r for r in bpe.encode(rows, PATH, tokenizers.PATTERN, with_ids=False).collect()}
+    for i, t in enumerate(made):
+        want = own.encode_ordinary(t)
+        assert got[i].n_tokens == len(want) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
 def test_empty_table(spark):
