@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.texts import WORD
+from millrace.llm.texts import WORD, fresh
 from millrace.shared import write_table
 
 #: Fixed values of the mix.
@@ -87,9 +87,11 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs' rows, each as often as the mix takes it, with docs' columns."""
-    cols = docs.columns
-    n = plan(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("copies").cast("int").alias("__n")).distinct()
-    same = docs["doc_id"].eqNullSafe(n["__id"]) & (F.xxhash64(docs["text"]) == n["__h"])
-    taken = docs.join(n.filter("__n > 0"), same)
-    return taken.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*cols)
+    """docs' rows, each as often as the mix takes it, with docs' columns, whatever their names.
+
+    Repeated rows are each taken as often; an empty table gives no rows.
+    """
+    doc, h, times, copy = (fresh(docs, n) for n in ("doc", "hash", "times", "copy"))
+    n = plan(docs).filter("copies > 0").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(h), F.col("copies").cast("int").alias(times)).distinct()
+    taken = docs.join(n, docs["doc_id"].eqNullSafe(n[doc]) & (F.xxhash64(docs["text"]) == n[h]))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -7,9 +7,9 @@ A string of ``length`` bytes that occurs twice is found however the corpus is de
    about one for 85 bytes; only runs are exchanged. An anchor that one run has cannot repeat.
 2. Whole runs. Runs with equal hashes of all their bytes are copies of each other; one stands for all.
 3. Factors. What is left are different runs with the same anchor: the edges of repeated passages. Their
-   bytes are fetched, suffixes are ordered to a depth of ``length``, and the previous and next
+   bytes are fetched and their suffixes put in order, with the common prefixes of neighbours; the previous and next
    smaller positions in that order give the longest factor that occurs earlier (or, with signs
-   turned, later). A window whose factor reaches ``length`` is a repeat.
+   turned, later). Where it is ``length`` bytes or more, all its bytes are a repeat.
 
 An anchor with many different runs is dealt out in blocks. A block names one window for each of its
 classes, and a second exchange on a 128-bit hash of these windows joins the blocks. Copies are never paired.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from millrace.llm.texts import small_batches, utf8
+from millrace.llm.texts import fresh, small_batches, utf8
 from millrace.shared import write_table
 
 #: Bytes of an anchor's gram, of text hashed at a time, and of runs whose suffixes are ordered at a time.
@@ -131,25 +131,33 @@ def _find_runs(length: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` bytes (equal where those are equal), by doubling."""
+def suffix_levels(data: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """Numbers that order all suffixes by their first 1, 2, 4, 8, ... symbols, until all differ or ``most`` symbols are compared.
+
+    ``data`` holds numbers below 512; past its end, symbols count as the least.
+    """
     n = len(data)
-    padded = np.zeros(n + depth + 8, np.uint8)
-    padded[:n] = data
-    h = 1
-    while 2 * h <= min(8, depth):
+    one = data.astype(np.int64)
+    after = lambda x, h: np.append(x[h:], np.zeros(min(h, n), np.int64))
+    two = one << 9 | after(one, 1)
+    rank = np.unique(two << 18 | after(two, 2), return_inverse=True)[1].astype(np.int64)
+    levels, h = [(1, one), (2, two), (4, rank)], 4
+    while h < most and n and rank.max() + 1 < n:
+        rank = np.unique(rank * (n + 2) + after(rank + 1, h), return_inverse=True)[1].astype(np.int64)
         h *= 2
-    key = np.zeros(n, _U)
-    for i in range(h):
-        key = (key << _U(8)) | padded[i : i + n].astype(_U)
-    rank = np.unique(key, return_inverse=True)[1]
-    while h < depth:
-        step = min(h, depth - h)
-        after = np.full(n, 0, np.int64)
-        after[: max(n - step, 0)] = rank[step:] + 1
-        rank = np.unique(rank.astype(np.int64) * (n + 2) + after, return_inverse=True)[1]
-        h += step
-    return rank
+        levels.append((h, rank))
+    return levels
+
+
+def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes a and b share, ``most`` of them at the most: level by level from the widest."""
+    out = np.zeros(len(a), np.int64)
+    n = len(levels[0][1])
+    for h, rank in reversed(levels):
+        at = np.nonzero((np.maximum(a, b) + out < n) & (out < most))[0]
+        same = at[rank[a[at] + out[at]] == rank[b[at] + out[at]]]
+        out[same] += h
+    return np.minimum(out, most)
 
 
 def longest_previous(order: np.ndarray, shared: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -180,35 +188,43 @@ def longest_previous(order: np.ndarray, shared: np.ndarray, place: np.ndarray) -
 
 
 def _repeats(pieces: list[bytes], counts: np.ndarray, length: int, first: bool) -> tuple[np.ndarray, ...]:
-    """Of all windows of the pieces: piece, offset, whether it repeats, and the class. Pieces are in order of place."""
+    """Of all windows of the pieces: piece, offset, the longest factor that stands elsewhere too (0 below ``length``), and whether it stands earlier. Pieces are in order of place."""
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    begin = np.cumsum(size) - size
-    rank = suffix_ranks(np.frombuffer(b"".join(pieces), np.uint8), length)
+    begin = np.cumsum(size + 1) - size - 1
+    # A zero ends each piece, so that a suffix that ends sorts before all that go on.
+    data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 1
+    data[begin + size] = 0
+    levels = suffix_levels(data, int(size.max()))
     piece = np.repeat(np.arange(len(pieces)), counts)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    window = rank[begin[piece] + offset]
-    order = np.argsort(window, kind="stable")
+    at = begin[piece] + offset
+    order = np.argsort(levels[-1][1][at], kind="stable")
+    left = size[piece] - offset
     shared = np.zeros(len(order), np.int64)
-    shared[1:] = np.where(window[order][1:] == window[order][:-1], length, 0)
+    a, b = order[:-1], order[1:]
+    shared[1:] = common_prefix(levels, at[a], at[b], np.minimum(left[a], left[b]))
+    # Shorter factors decide nothing, and chains of them needn't be followed.
+    shared[shared < length] = 0
     place = np.arange(len(order))
-    twice = np.zeros(len(order), bool)
-    twice[order] = longest_previous(order, shared, place) >= length
-    earlier = twice.copy()
+    factor = np.zeros(len(order), np.int64)
+    factor[order] = longest_previous(order, shared, place)
+    earlier = factor >= length
     if not first:
-        later = np.zeros(len(order), bool)
-        later[order] = longest_previous(order, shared, -place) >= length
-        twice |= later
-    return piece, offset, twice, earlier
+        later = np.zeros(len(order), np.int64)
+        later[order] = longest_previous(order, shared, -place)
+        factor = np.maximum(factor, later)
+    return piece, offset, factor, earlier
 
 
-def _spans(piece: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows, in order, joined to spans: piece, begin, end."""
+def _spans(piece: np.ndarray, offset: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors, in order, joined to spans: piece, begin, end."""
     if not len(piece):
         return piece, offset, offset
-    cut = np.concatenate([[True], (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + length)])
+    end = np.maximum.accumulate((piece.astype(np.int64) << 40) + offset + size) & ((1 << 40) - 1)
+    cut = np.concatenate([[True], (piece[1:] != piece[:-1]) | (offset[1:] > end[:-1])])
     first = np.nonzero(cut)[0]
     last = np.append(first[1:], len(piece)) - 1
-    return piece[first], offset[first], offset[last] + length
+    return piece[first], offset[first], end[last]
 
 
 def _factors(length: int, first: bool):
@@ -225,8 +241,9 @@ def _factors(length: int, first: bool):
         rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("doc_id", "h", "start")], null_placement="at_start"))
         pieces = rows.column("bytes").to_pylist()
         start = rows.column("start").to_numpy()
-        piece, offset, twice, earlier = _repeats(pieces, rows.column("count").to_numpy(), length, first)
-        at, begin, end = _spans(piece[twice], offset[twice], length)
+        piece, offset, factor, earlier = _repeats(pieces, rows.column("count").to_numpy(), length, first)
+        twice = factor >= length
+        at, begin, end = _spans(piece[twice], offset[twice], factor[twice])
         split = rows.column("split").to_numpy()
         named = np.nonzero(split[piece] & ~earlier)[0]
         words = [xxhash.xxh3_128_digest(pieces[p][o : o + length]) for p, o in zip(piece[named].tolist(), offset[named].tolist(), strict=True)]
@@ -341,7 +358,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, first: bool = False, bloc
     Every byte that a repeated string of ``length`` bytes covers is removed; with ``first`` the
     earliest copy stays, by doc_id and place. Null texts are empty, and texts shorter than ``length``
     stay whole. Rows that repeat doc_id and text are copies of each other (with ``first`` they share
-    one fate). An empty table gives no rows; further columns are ignored.
+    one fate). Very long texts are hashed in chunks; one text and its spans are in memory at a time. An
+    empty table gives no rows; further columns are ignored.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -373,10 +391,11 @@ def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), utf8(F.col("text")).alias("text"))
-    spans = repeated_spans(keyed, length, first=True).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__d"]) & (F.xxhash64(docs["text"]) == spans["__h"]), "left")
-    out = joined.withColumn("text", F.coalesce(_rest(utf8(F.col("text")), F.col("__spans")), F.col("text")))
+    d, h, own = (fresh(docs, n) for n in ("doc", "hash", "spans"))
+    spans = repeated_spans(keyed, length, first=True).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("spans").alias(own))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[d]) & (F.xxhash64(docs["text"]) == spans[h]), "left")
+    out = joined.withColumn("text", F.coalesce(_rest(utf8(F.col("text")), F.col(own)), F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*docs.columns)

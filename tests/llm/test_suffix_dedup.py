@@ -79,6 +79,27 @@ def test_longest_previous_factors():
     assert got.tolist() == [max([0, *(common(i, j) for j in range(i))]) for i in range(n)]
 
 
+def test_factors_of_pieces_against_all_pairs():
+    rnd = random.Random(5)
+    for case in range(40):
+        base = bytes(rnd.choices(b"ab\0" if case % 2 else b"abcdefgh", k=60))
+        pieces = [base[a : a + rnd.randint(12, 40)] + bytes(rnd.choices(b"abc", k=rnd.randint(0, 20))) for a in (rnd.randrange(40) for _ in range(rnd.randint(1, 6)))]
+        pieces = [p if len(p) >= 8 else p + b"x" * 8 for p in pieces]
+        length = 8
+        counts = np.array([len(p) - length + 1 for p in pieces])
+        piece, offset, factor, earlier = sd._repeats(pieces, counts, length, first=False)
+        _, _, before, _ = sd._repeats(pieces, counts, length, first=True)
+        suffixes = [pieces[p][o:] for p, o in zip(piece.tolist(), offset.tolist(), strict=True)]
+
+        def common(a, b):
+            n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            return n if n >= length else 0
+
+        for i, own in enumerate(suffixes):
+            assert factor[i] == max([0, *(common(own, x) for j, x in enumerate(suffixes) if j != i)])
+            assert before[i] == max([0, *(common(own, x) for x in suffixes[:i])]) and earlier[i] == (before[i] >= length)
+
+
 def test_drop_repeats_keeps_columns_and_first_copies(spark):
     p = "".join(random.Random(4).choices("klmnop", k=300))
     rows = [(1, "one " + p, "x", 304), (2, p + " two", "y", 304), (3, "three", None, 5), (None, None, None, None)]
