@@ -7,11 +7,13 @@ Two segments that differ by at most one bit share a key, so an equality exchange
 every pair together, and the full distance verifies it.
 
 Scale: exact copies collapse to one fingerprint before anything is exchanged. A key's members are
-compared in a streamed, sorted partition. A key with more than ``bucket`` members isn't compared at
-all: its members go to the exact path for crowded keys, which meets in the middle. Fingerprints within 4
-bits share a point within 2 bits of both, and any two that share such a point are within 4 bits, so
-linking each to the least fingerprint at each of its 2,081 points joins the same groups with a cost
-in proportion to the members, whatever their number.
+compared in a streamed, sorted partition. A key with more than ``bucket`` members (some 10**9 different
+fingerprints fill all keys so) is cut once more in the same way: the bits outside its segment, in three segments of 14
+or 15 bits, give 43 variants, so that 33 bits are equal in place of 20. What is still crowded then, many fingerprints
+around one, meets in the middle. Fingerprints within 4 bits share a point within 2 bits of both, and any two that share
+such a point are within 4 bits, so linking each to the least fingerprint at each of its 2,081 points joins the same
+groups with a cost in proportion to the members, whatever their number. All three ways are exact, and a
+fingerprint takes the first that its key's size allows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.texts import per_row, small_batches
+from millrace.llm.texts import fresh, per_row, small_batches
 from millrace.operators.components import connected_components
 from millrace.shared import write_table
 
@@ -72,6 +74,24 @@ def _variants(fp):
     return F.array(*keys)
 
 
+#: (lowest bit, width) of the segments into which the 43 bits outside a key's own segment are cut.
+REST = ((0, 14), (14, 14), (28, 15))
+
+
+def _rest_variants(key, fp):
+    """Keys of a member of the crowded key: its number and value, and a second variant from the bits outside its segment."""
+    table = F.shiftrightunsigned(key, SLOT) % BITS
+    rest = None
+    for (lo, width), last in zip(SEGMENTS, (21, 42, 64), strict=True):
+        own = fp.bitwiseAND(F.lit((1 << lo) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, lo + width), lo) if lo + width < BITS else F.lit(0))
+        rest = F.when(table < last, own) if rest is None else rest.when(table < last, own)
+    keys = []
+    for lo, width in REST:
+        part = F.shiftrightunsigned(rest, lo).bitwiseAND(F.lit((1 << width) - 1))
+        keys += [part.bitwiseAND(F.lit(~(1 << j))) + F.lit((len(keys) + j) << 15) for j in range(width)]
+    return F.transform(F.array(*keys), lambda k: F.shiftleft(key.cast("bigint"), 21) + k)
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star for each group that the links a-b join: (member, least member)."""
     if not len(a):
@@ -108,10 +128,10 @@ def _pairs(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.n
 
 
 def _verify(most: int, bucket: int):
-    """Sorted (key, fp) in; (a, b) links out, or (a, null) for a member of a crowded key."""
+    """Sorted (key, fp) in; (a, b, null) links out, or (a, null, key) for a member of a crowded key."""
 
-    def emit(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def emit(a, b, key=None):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(a) if key is None else key, pa.int64())], names=["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_fp, crowded = np.empty(0, np.int32), np.empty(0, np.int64), None
@@ -123,7 +143,7 @@ def _verify(most: int, bucket: int):
             if len(key) - tail > bucket or (len(key) and crowded == key[-1]):
                 crowded = key[-1]
                 held_key, held_fp = key[:0], fp[:0]
-                yield emit(fp[tail:], [None] * (len(fp) - tail))
+                yield emit(fp[tail:], [None] * (len(fp) - tail), key[tail:])
             else:
                 held_key, held_fp = key[tail:], fp[tail:]
         yield from settle(held_key, held_fp, crowded, last=True)
@@ -141,7 +161,7 @@ def _verify(most: int, bucket: int):
         size = np.repeat(size, size)
         many = (size > bucket) | (key == crowded if crowded is not None else False)
         if many.any():
-            yield emit(fp[many], [None] * int(many.sum()))
+            yield emit(fp[many], [None] * int(many.sum()), key[many])
         few = (size > 1) & ~many
         a, b = _forest(*_pairs(key[few], fp[few], most))
         if len(a):
@@ -160,7 +180,18 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((part.view(np.uint64)[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)))], names=["point", "fp"])
 
 
-def links(fps: DataFrame, max_bits: int = 4, bucket: int = 1024) -> DataFrame:
+#: Members of a key that are compared with each other in one task.
+BUCKET = 4096
+
+
+def _compared(keyed: DataFrame, most: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """keyed(key, fp) -> links (a, b), and what is left: (key, fp) of crowded keys."""
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    found = write_table(ordered.mapInArrow(_verify(most, bucket), "a bigint, b bigint, key bigint").distinct(), "links")
+    return found.filter("key is null").select("a", "b"), found.filter("key is not null").select("key", F.col("a").alias("fp"))
+
+
+def links(fps: DataFrame, max_bits: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Distinct fps(fp) -> (a, b): links that join the same groups as all pairs within 4 bits do.
 
     Not every pair is listed: within a key, a group is given as a star around its least member.
@@ -168,23 +199,25 @@ def links(fps: DataFrame, max_bits: int = 4, bucket: int = 1024) -> DataFrame:
     if max_bits != 4:
         raise ValueError("the three segments are complete for a distance of exactly up to 4 bits")
     small_batches(fps.sparkSession)
-    keyed = fps.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = write_table(keyed.mapInArrow(_verify(max_bits, bucket), "a bigint, b bigint").distinct(), "links")
-    sure = found.filter("b is not null")
-    crowd = found.filter("b is null").select(F.col("a").alias("fp"))
+    sure, crowd = _compared(fps.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp"), max_bits, bucket)
+    if crowd.isEmpty():
+        return sure
+    more, crowd = _compared(crowd.select(F.explode(_rest_variants(F.col("key"), F.col("fp"))).alias("key"), "fp"), max_bits, bucket)
+    sure = sure.union(more)
     if crowd.isEmpty():
         return sure
-    met = write_table(crowd.mapInArrow(_points, "point bigint, fp bigint"), "points")
+    met = write_table(crowd.select("fp").distinct().mapInArrow(_points, "point bigint, fp bigint"), "points")
     least = met.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b < top").drop("top")
     return sure.union(met.join(least, "point").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links of at most ``max_bits`` bits.
 
     One row for each row of docs. Null or wordless texts have fingerprint zero, linked like any other.
     Repeated rows share a group. A null doc_id is never a group's name unless all of its group are
-    null. An empty table gives no rows; further columns, whatever their names, are ignored.
+    null. Very long texts are hashed whole, in memory in proportion to one text. An empty table gives no rows; further
+    columns, whatever their names, are ignored.
     """
     signed = write_table(fingerprints(docs, shingle), "fingerprints")
     distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -390,8 +423,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A null doc_id is the least only where a group has no other. Null and wordless texts are one group.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("s")
-    chosen = write_table(similar_groups(docs).groupBy("component").agg(least).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h")), "kept")
+    doc, h = fresh(docs, "doc"), fresh(docs, "hash")
+    chosen = write_table(similar_groups(docs).groupBy("component").agg(least).select(F.col("s.doc_id").alias(doc), F.col("s.h").alias(h)), "kept")
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & (own == chosen["__h"]), "left_semi")
-    twice = docs.groupBy("doc_id", own.alias("h")).count().filter("count > 1").limit(1)
-    return kept if twice.isEmpty() else kept.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[doc]) & (own == chosen[h]), "left_semi")
+    twice = docs.groupBy("doc_id", own.alias(h)).count().filter("count > 1").limit(1)
+    return kept if twice.isEmpty() else kept.withColumn(h, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", h]).drop(h)
