@@ -4,10 +4,11 @@ One pass over the texts counts what the rules look at. Each rule's ratio goes, b
 quantile sketch: counts of logarithmic buckets whose width is a sixteenth of the value. Sketches merge by
 adding counts, in any order and without loss, so partial ones are summed before the exchange and the
 result never depends on how rows were dealt. Each group's thresholds are read from its sketch, fenced
-like a box plot (quartile plus a multiple of the spread), and joined back as a filter.
+like a box plot (a quantile plus a multiple of its distance to the median), and joined back as a filter.
 
-A group with few documents would get thresholds from noise, so its sketch is merged with all
-groups' of its language first; that also gives groups without a language or source (null) theirs.
+A group's sketch is merged with its language's as if that had ``PRIOR`` documents: a group of few documents
+follows its language, a large one itself, without a size at which one turns into the other. Null languages
+and sources are groups like others.
 """
 
 from __future__ import annotations
@@ -27,36 +28,40 @@ from millrace.shared import write_table
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 
-FIELDS = [(n, "bigint", pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")]
+FIELDS = [(n, "bigint", pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio in parts per 10,000 and its fence: max(slack, q75 + spread * (q75 - q50)) at the most."""
+    """A whole-number ratio and its fences: q(high) + spread * (q(high) - q50), and with ``low`` the like below.
+
+    ``high`` is the share in percent of a group's documents that the rule takes for ordinary: fewer
+    odd ones than the rest don't move the fence. ``unit`` is the least change that counts, for groups without any spread.
+    """
 
     name: str
     ratio: str
+    high: int
     spread: int
-    slack: int
+    unit: int
+    low: int | None = None
 
 
-#: slack only guards a group without any spread, whose fence is otherwise at zero: in sf0.1's documents of quality 1
-#: the 99th percentiles are 2000 (dup_lines) and 931 (repeats), and the median of capitals is 158.
+#: Symbols are all or nothing, so that a quarter may be odd; repeated lines and words are rare in any text, so that their own tail tells what is usual.
 RULES = (
-    Rule("symbols", "10000 * n_symbols div greatest(n_words, 1)", 6, 500),
-    Rule("dup_lines", "10000 * n_dup_lines div greatest(n_lines, 1)", 6, 500),
-    Rule("repeats", "10000 * n_repeat_words div greatest(n_words, 1)", 6, 500),
-    Rule("capitals", "10000 * n_capitals div greatest(word_chars, 1)", 6, 100),
-    Rule("marks", "10000 * n_marks div greatest(n_words, 1)", 6, 500),
+    Rule("symbols", "10000 * n_symbols div greatest(n_words, 1)", 75, 6, 100),
+    Rule("dup_lines", "10000 * n_dup_lines div greatest(n_lines, 1)", 98, 2, 100),
+    Rule("repeats", "10000 * n_repeat_words div greatest(n_words, 1)", 98, 3, 100),
+    Rule("capitals", "10000 * n_capitals div greatest(word_chars, 1)", 90, 5, 10),
+    Rule("word_length", "100 * word_chars div greatest(n_words, 1)", 90, 5, 100, 10),
 )
-#: Groups with fewer documents take their language's thresholds.
-MIN_GROUP = 200
+#: Documents that the language's sketch counts for in a group's.
+PRIOR = 200
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
 _NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
-_NOT_MARK = bytes(b for b in range(256) if b not in b"!?")
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -92,7 +97,6 @@ def count_text(text: bytes) -> tuple[int, ...]:
         _repeated(words),
         len(lines),
         len(text.translate(None, _NOT_CAPITAL)),
-        len(text.translate(None, _NOT_MARK)),
     )
 
 
@@ -125,65 +129,70 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words")
 
 
-def _fences(sketch: DataFrame, keys: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """keys, rule, total, fence of each sketch: at most some hundred buckets stand in a window."""
-    merged = sketch.groupBy(*keys, "rule", "b").agg(F.sum("n").alias("n"))
-    group = W.partitionBy(*keys, "rule")
-    run = merged.withColumn("upto", F.sum("n").over(group.orderBy("b"))).withColumn("total", F.sum("n").over(group))
-    q = run.groupBy(*keys, "rule").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("b"))).alias("b50"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("b"))).alias("b75"),
-    )
-    q50, q75 = lower_edge(F.col("b50")), lower_edge(F.col("b75"))
-    fence = None
-    for i, r in enumerate(rules):
-        value = F.greatest(F.lit(r.slack).cast("long"), q75 + r.spread * (q75 - q50))
-        fence = F.when(F.col("rule") == i, value) if fence is None else fence.when(F.col("rule") == i, value)
-    return q.select(*keys, "rule", "total", fence.alias("fence"))
-
-
-def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and a column t<i> with the threshold of each rule."""
-    own = _fences(sketch, ["lang", "source"], rules)
-    by_lang = _fences(sketch, ["lang"], rules).select(F.col("lang").alias("l"), F.col("rule").alias("r"), F.col("fence").alias("wide"))
-    both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("r")))
-    fence = F.when(F.col("total") >= min_group, F.col("fence")).otherwise(F.col("wide"))
-    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == i, fence)).alias(f"t{i}") for i in range(len(rules))))
-
+def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
+    """lang, source and columns lo<i>, hi<i> with the fences of each rule (lo<i> null without one).
 
-def _with_limits(docs: DataFrame, rules: tuple[Rule, ...], min_group: int) -> DataFrame:
+    A bucket weighs n * N + prior * m, with n of the group's documents in it, and m of the language's N: whole
+    numbers, so that the result is the same however rows were dealt. A group has at most a few hundred buckets.
+    """
+    by_lang = sketch.groupBy("lang", "rule", "b").agg(F.sum("n").alias("m")).withColumn("all", F.sum("m").over(W.partitionBy("lang", "rule")))
+    by_lang = by_lang.select(F.col("lang").alias("l"), F.col("rule").alias("r"), F.col("b").alias("c"), "m", "all")
+    groups = sketch.select("lang", "source").distinct()
+    whole = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", F.col("r").alias("rule"), F.col("c").alias("b"), "m", "all")
+    own = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("rule").alias("r"), F.col("b").alias("c"), "n")
+    same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("b") == F.col("c"))
+    big = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(19,0)")
+    weight = (big(F.col("n")) * big(F.col("all")) + big(F.col("m")) * prior).cast("decimal(30,0)")
+    group = W.partitionBy("lang", "source", "rule")
+    run = whole.join(own, same, "left").select("lang", "source", "rule", "b", weight.alias("w"))
+    run = run.withColumn("upto", F.sum("w").over(group.orderBy("b")) * 100).withColumn("total", F.sum("w").over(group))
+    level = lambda of: F.element_at(F.array(*(F.lit(of(r)) for r in rules)), F.col("rule") + 1)
+    reached = lambda share: F.min(F.when(F.col("upto") >= F.col("total") * share, F.col("b")))
+    q = run.groupBy("lang", "source", "rule").agg(reached(F.lit(50)).alias("b50"), reached(level(lambda r: r.high)).alias("top"), reached(level(lambda r: r.low or 0)).alias("bottom"))
+    mid, top, bottom = (lower_edge(F.col(c)) for c in ("b50", "top", "bottom"))
+    spread, unit = level(lambda r: r.spread), level(lambda r: r.unit)
+    hi = top + F.greatest(spread * (top - mid), unit)
+    lo = F.when(level(lambda r: r.low is not None), bottom - F.greatest(spread * (mid - bottom), unit))
+    q = q.select("lang", "source", "rule", hi.alias("hi"), lo.alias("lo"))
+    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(rules)) for c in ("lo", "hi")))
+
+
+def _with_limits(docs: DataFrame, rules: tuple[Rule, ...], prior: int) -> DataFrame:
     """stats of docs, with the thresholds of each row's group (null where none of its documents pass the base rules)."""
     counted = write_table(stats(docs), "quality-stats")
-    limits = write_table(thresholds(sketches(counted, rules), rules, min_group), "quality-thresholds")
-    limits = limits.select(F.col("lang").alias("l"), F.col("source").alias("s"), *(f"t{i}" for i in range(len(rules))))
+    limits = write_table(thresholds(sketches(counted, rules), rules, prior), "quality-thresholds")
+    limits = limits.withColumnsRenamed({"lang": "l", "source": "s"})
     # The group is a few bytes and the rows are numbers only; a hot group is split by adaptive execution.
     return counted.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_group: int = MIN_GROUP) -> DataFrame:
+def _over(i: int, r: Rule) -> Column:
+    return F.coalesce((F.expr(r.ratio) > F.col(f"hi{i}")) | F.coalesce(F.expr(r.ratio) < F.col(f"lo{i}"), F.lit(False)), F.lit(False))
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
     """doc_id, text_hash, the counts, base_failed and kept, a row for each row of docs.
 
     Null texts have no words and fail the base rules, as do empty ones; equal rows get equal answers;
-    null languages and sources are groups of their own; a ratio equal to its threshold passes. An
-    empty table gives no rows, and further columns are ignored.
+    null languages and sources are groups of their own; a ratio equal to its threshold passes. Very long texts
+    are counted whole, in memory in proportion to one text. An empty table gives no rows, and further columns are ignored.
     """
-    marked = _with_limits(docs, rules, min_group)
+    marked = _with_limits(docs, rules, prior)
     fits = F.lit(True)
     for i, r in enumerate(rules):
-        fits = fits & F.coalesce(F.expr(r.ratio) <= F.col(f"t{i}"), F.lit(True))
+        fits = fits & ~_over(i, r)
     return marked.select("doc_id", "text_hash", *(n for n, _, _ in FIELDS), base_failed().alias("base_failed"), (~base_failed() & fits).alias("kept"))
 
 
-def rejections(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_group: int = MIN_GROUP) -> DataFrame:
-    """rule, by_fence, by_slack: documents that pass the base rules and lie above a threshold, which the group's fence or the slack set."""
-    marked = _with_limits(docs, rules, min_group).filter(~base_failed())
-    over = F.array(*(F.struct(F.lit(r.name).alias("rule"), (F.expr(r.ratio) > F.col(f"t{i}")).alias("out"), (F.col(f"t{i}") > r.slack).alias("fenced")) for i, r in enumerate(rules)))
-    return marked.select(F.inline(over)).groupBy("rule").agg(F.count_if(F.col("out") & F.col("fenced")).alias("by_fence"), F.count_if(F.col("out") & ~F.col("fenced")).alias("by_slack"))
+def rejections(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
+    """rule, n: documents that pass the base rules and lie outside a rule's fences."""
+    marked = _with_limits(docs, rules, prior).filter(~base_failed())
+    over = F.array(*(F.struct(F.lit(r.name).alias("rule"), _over(i, r).alias("out")) for i, r in enumerate(rules)))
+    return marked.select(F.inline(over)).groupBy("rule").agg(F.count_if("out").alias("n"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
-    out = judge(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    same = docs["doc_id"].eqNullSafe(out["__id"]) & (F.xxhash64(docs["text"]) == out["__h"])
-    return docs.join(out, same, "left_anti")
+    """The rows of docs that the rules keep, with docs' columns; null and empty texts go, and equal rows share one fate."""
+    out = judge(docs).filter("not kept").select("doc_id", "text_hash").distinct()
+    mine = F.struct(docs["doc_id"], F.xxhash64(docs["text"]))
+    return docs.join(out, mine.eqNullSafe(F.struct(out["doc_id"], out["text_hash"])), "left_anti")

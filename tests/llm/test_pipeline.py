@@ -96,19 +96,3 @@ def test_each_stage_does_what_its_operator_says(spark, sf):
         taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
     assert taken == {r.doc_id: r.copies for r in mixing.plan(docs).collect() if r.copies}
     assert bpe.__name__ and cp.encode(spark, docs, sf).count() == len(rows)
-
-
-def test_fences_decide_and_not_the_slack(spark):
-    rnd = random.Random(4)
-
-    def text(capitals, repeats=0):
-        words = [("W" if k < capitals else "w") + "".join(rnd.choices("abcdefgh", k=9)) for k in range(100)]
-        return " ".join(words + words[:8] * repeats)
-
-    rows = [(i, text(rnd.randint(10, 20)), "en", "s", 0, 0) for i in range(300)]
-    odd = [(1000, text(90), "en", "s", 0, 0), (1001, text(15, 1), "en", "s", 0, 0)]
-    docs = spark.createDataFrame([*rows, *odd], SCHEMA)
-    got = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
-    assert all(got[i] for i, *_ in rows) and not got[1000] and not got[1001]
-    told = {r.rule: (r.by_fence, r.by_slack) for r in quality_rules.rejections(docs).collect()}
-    assert told == {"symbols": (0, 0), "dup_lines": (0, 0), "repeats": (0, 1), "capitals": (1, 0), "marks": (0, 0)}
