@@ -4,16 +4,18 @@ A lexicon is learned from labelled rows: words whose presence speaks for the lab
 odds. Every token of every text is matched against it. A token that isn't in it may be a misspelling:
 its Levenshtein automaton (one insertion, deletion, substitution or swap) is run along the trie.
 Around each match a window of tokens decides whether the word is aimed at someone or quoted. The sums of
-both kinds and a few densities are the features of a logistic model that gives the score.
+both kinds, a few densities, and how loud a text is (capitals, exclamation marks, words said twice) are the features of a
+logistic model that gives the score.
 
-Scale: the lexicon and the model are learned from a bounded number of labelled rows (``FIT_ROWS``,
-``LEXICON``), broadcast because of that bound. Scoring is one pass without an exchange.
+Scale: the lexicon and the model are learned from a bounded number of labelled rows (``FIT_ROWS``) and sent to all tasks
+because of that bound: the lexicon has no more words than those rows. Scoring is one pass without an exchange.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,14 @@ from millrace.llm.labels import remainder, training
 from millrace.llm.texts import per_row
 from millrace.shared import write_table
 
-#: Bounds of what is learned from: labelled rows, and words of the lexicon.
-FIT_ROWS, LEXICON = 20_000, 2_000
+#: Labelled rows that are learned from.
+FIT_ROWS = 20_000
 #: A word's support in labelled texts, its least log odds, and the length from which any token may be a misspelling
 #: of it; of a shorter word (three letters at least), only tokens that no clean labelled text has.
 SUPPORT, ODDS, FUZZY = 4, 1.5, 5
+#: The share of toxic texts that makes a word a core word, and what a misspelling of one counts of its odds, for labelled texts
+#: have too few to learn it; tokens that a clean labelled text has are none. Other words' misspellings the model weighs apart.
+FREQUENT, MISSPELT = 0.05, 0.8
 #: Tokens to either side that make a match's context, and entries of a task's cache.
 CONTEXT, CACHED = 5, 300_000
 
@@ -39,16 +44,17 @@ OPEN, CLOSE = "\"'“‘«„‹(", "\"'”’»“›)"
 #: Digits and signs that stand for letters.
 LEET = str.maketrans("013457@$!", "oieastasi")
 
+_CAPITALS = bytes(range(65, 91))
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Trie:
     """The lexicon as nested dictionaries; the key "" holds a word's number."""
 
-    def __init__(self, words: list[str], known: frozenset[str] = frozenset()) -> None:
+    def __init__(self, words: list[str], known: frozenset[str] = frozenset(), core: frozenset[str] = frozenset()) -> None:
         self.root: dict = {}
         self.known = known
-        self.short = {i: w for i, w in enumerate(words) if len(w) < FUZZY}
+        self.guarded = {i for i, w in enumerate(words) if len(w) < FUZZY or w in core}
         self.number = {w: i for i, w in enumerate(words)}
         # Words one edit apart share a form with at most one letter left out; all others needn't be run.
         self.forms: set[str] = set()
@@ -58,58 +64,48 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = i
             self.forms.add(w)
-            self.forms.update(w[:k] + w[k + 1 :] for k in range(len(w)))
+            self.forms.update([w[:k] + w[k + 1 :] for k in range(len(w))])
+        self.least, self.most = max(min(map(len, words), default=0) - 1, 2), max(map(len, words), default=0) + 1
 
     def near(self, word: str) -> int | None:
         """The number of a lexicon word within one edit of ``word``, the least such; None if there is none."""
-        if len(word) < 2:
+        n = len(word)
+        if not self.least <= n <= self.most:
             return None
-        forms, barred = self.forms, self.short if word in self.known else ()
-        if word not in forms and not any([word[:k] + word[k + 1 :] in forms for k in range(len(word))]):
+        forms = self.forms
+        if word not in forms and forms.isdisjoint([word[:k] + word[k + 1 :] for k in range(n)]):
             return None
+        barred = self.guarded if word in self.known else ()
         best: int | None = None
-        # States of the automaton: (letters of the word read, edits, letter owed by a swap).
-        stack: list[tuple[dict, frozenset]] = [(self.root, _closed({(0, 0, "")}, word))]
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        end, whole = 1 << n, (2 << n) - 1
+        # The automaton's states as bits: letters of the word read without an edit, with one, and with a swap half done.
+        stack = [(self.root, 1, 2, 0)]
         while stack:
-            node, states = stack.pop()
-            if "" in node and node[""] not in barred and any(e <= 1 and not owed and len(word) - i + e <= 1 for i, e, owed in states) and (best is None or node[""] < best):
+            node, plain, edited, swap = stack.pop()
+            if "" in node and (plain | edited) & end and node[""] not in barred and (best is None or node[""] < best):
                 best = node[""]
             for c, child in node.items():
-                if c and (after := _step(states, c, word)):
-                    stack.append((child, after))
+                if c:
+                    here = at.get(c, 0)
+                    read = (plain & here) << 1
+                    # Read; a letter more; another letter; the swap's second letter; a letter less.
+                    after = ((edited & here) << 1 | plain | plain << 1 | (swap & here) << 2 | read << 1) & whole
+                    half = plain & here >> 1
+                    if read or after or half:
+                        stack.append((child, read, after, half))
         return best
 
 
-def _closed(states: set, word: str) -> frozenset:
-    """States with a letter of the word left out."""
-    return frozenset(states | {(i + 1, 1, "") for i, e, owed in states if e == 0 and not owed and i < len(word)})
-
-
-def _step(states: frozenset, c: str, word: str) -> frozenset:
-    """The states after the trie's letter c."""
-    out = set()
-    for i, e, owed in states:
-        if owed:
-            if c == owed:
-                out.add((i, e, ""))
-            continue
-        if i < len(word) and word[i] == c:
-            out.add((i + 1, e, ""))
-        if e == 0:
-            out.add((i, 1, ""))
-            if i < len(word):
-                out.add((i + 1, 1, ""))
-            if i + 1 < len(word) and word[i + 1] == c:
-                out.add((i + 2, 1, word[i]))
-    return _closed(out, word)
-
-
 @dataclass(frozen=True)
 class Lexicon:
     words: list[str]
     odds: list[float]
-    #: Words of clean labelled texts that are as short as misspellings of the lexicon's short words.
+    #: Words of clean labelled texts that could be taken for misspellings of short or core words.
     known: frozenset[str] = frozenset()
+    core: frozenset[str] = frozenset()
 
 
 def learn_lexicon(docs: DataFrame, sample: DataFrame) -> Lexicon:
@@ -117,24 +113,29 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame) -> Lexicon:
     rows = docs.join(F.broadcast(sample), "doc_id").filter("text is not null")
     texts = rows.select("y", "text", F.xxhash64("text").alias("family")).dropDuplicates(["y", "family"])
     words = texts.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    counts = words.filter(F.length("word").between(2, 40)).groupBy("word").agg(F.count(F.when(F.col("y") == 1, 1)).alias("t"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
+    counts = words.filter(F.length("word") >= 2).groupBy("word").agg(F.count(F.when(F.col("y") == 1, 1)).alias("t"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     t_all, n_all = sizes.get(1, 0) + 1.0, sizes.get(0, 0) + 1.0
     odds = F.log((F.col("t") + 0.5) / t_all) - F.log((F.col("n") + 0.5) / n_all)
     best = counts.filter((F.length("word") >= 3) & (F.col("t") >= SUPPORT)).withColumn("odds", F.round(odds, 4)).filter(F.col("odds") >= ODDS)
-    rows = best.orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(LEXICON).collect()
-    known = counts.filter((F.length("word") <= FUZZY) & (F.col("n") > 0)).select("word").collect()
-    return Lexicon([r["word"] for r in rows], [float(r["odds"]) for r in rows], frozenset(r["word"] for r in known))
+    rows = best.orderBy(F.desc(F.col("t") * F.col("odds")), "word").collect()
+    core = frozenset(r["word"] for r in rows if r["t"] >= FREQUENT * t_all)
+    near = sorted(set().union(*({w, *(w[:k] + w[k + 1 :] for k in range(len(w)))} for w in core)))
+    own = F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.col("word").substr(F.lit(1), k - 1), F.col("word").substr(k + 1, F.length("word")))))
+    alike = F.lit(False) if not near else (F.length("word") <= max(map(len, near)) + 1) & F.arrays_overlap(own, F.array(*map(F.lit, near)))
+    known = counts.filter((F.col("n") > 0) & ((F.length("word") <= FUZZY) | alike)).select("word").collect()
+    return Lexicon([r["word"] for r in rows], [float(r["odds"]) for r in rows], frozenset(r["word"] for r in known), core)
 
 
-FEATURES = ("aimed", "quoted", "misspelt", "kinds", "density", "dense_window", "addressed")
+FEATURES = ("aimed", "quoted", "misspelt", "kinds", "density", "dense_window", "addressed", "capitals", "marks", "echo")
 
 
 class Matcher:
     """Features of one text: FEATURES in order."""
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.odds, self.trie = lexicon.odds, Trie(lexicon.words, lexicon.known)
+        self.odds, self.trie = lexicon.odds, Trie(lexicon.words, lexicon.known, lexicon.core)
+        self.core = {i for i, w in enumerate(lexicon.words) if w in lexicon.core}
         self.cache: dict[str, int] = {}
 
     def code(self, token: str) -> int:
@@ -149,7 +150,7 @@ class Matcher:
         plain = "".join(_LETTERS.findall(token.translate(LEET))) if len(parts) != 1 or len(parts[0]) < len(token) - 2 else parts[0]
         if plain and (n := number.get(plain)) is not None:
             return -(n + 1)
-        n = self.trie.near(plain) if plain and len(plain) < 40 else None
+        n = self.trie.near(plain)
         return 0 if n is None else -(n + 1)
 
     def features(self, text: bytes) -> tuple[float, ...]:
@@ -160,27 +161,33 @@ class Matcher:
         for t in set(tokens).difference(cache):
             cache[t] = self.code(t)
         codes = [cache[t] for t in tokens]
+        size = max(len(tokens), 1)
+        loud = ((len(text) - len(text.translate(None, _CAPITALS))) / max(len(text), 1), min(text.count(b"!") / size, 1.0), sum(map(eq, tokens, tokens[1:])) / size)
         hits = [i for i, c in enumerate(codes) if c]
         if not hits:
-            return (0.0,) * len(FEATURES)
+            return (*(0.0,) * (len(FEATURES) - len(loud)), *loud)
         aimed: dict[int, float] = {}
         quoted: dict[int, float] = {}
         misspelt: dict[int, float] = {}
-        addressed = 0
+        addressed, meant = 0, []
         for i in hits:
             c = codes[i]
             n = abs(c) - 1
             before, after = tokens[max(0, i - CONTEXT) : i], tokens[i + 1 : i + 1 + CONTEXT]
             if _is_quoted(before, tokens[i], after):
                 quoted[n] = self.odds[n]
-            elif c < 0:
-                misspelt[n] = self.odds[n]
-            else:
-                aimed[n] = self.odds[n]
+                continue
+            meant.append(i)
             addressed += not ADDRESSING.isdisjoint(before) or not ADDRESSING.isdisjoint(after)
-        at = np.array(hits)
-        dense = int((np.searchsorted(at, at + 2 * CONTEXT) - np.arange(len(at))).max())
-        return (sum(aimed.values()), sum(quoted.values()), sum(misspelt.values()), float(len(aimed)), min(len(hits) / max(len(tokens), 1), 1.0), float(min(dense, 10)), min(addressed / len(hits), 1.0))
+            if c > 0:
+                aimed[n] = self.odds[n]
+            elif n in self.core:
+                aimed.setdefault(n, MISSPELT * self.odds[n])
+            else:
+                misspelt[n] = self.odds[n]
+        at = np.array(meant, np.int64)
+        dense = int((np.searchsorted(at, at + 2 * CONTEXT) - np.arange(len(at))).max(initial=0))
+        return (sum(aimed.values()), sum(quoted.values()), sum(misspelt.values()), float(len(aimed)), min(len(meant) / size, 1.0), float(min(dense, 10)), min(addressed / max(len(meant), 1), 1.0), *loud)
 
 
 def _is_quoted(before: list[str], token: str, after: list[str]) -> bool:
@@ -214,8 +221,9 @@ def score_texts(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1,
 
     Learns from labels.toxic of rows whose crc32 remainder isn't ``held``; scores whole texts by
     their words alone. Null and empty texts have no match and get the score that goes with none.
-    Equal texts get equal scores. Without labels the score is a constant near 0; an empty table gives
-    no rows; further columns are ignored.
+    Equal texts get equal scores. Words of equal weight are ordered by their letters, rows of the sample by the hash of their
+    doc_id. Very long texts are read whole, in memory in proportion to one text. Without labels the score is a constant near 0;
+    an empty table gives no rows; further columns are ignored.
     """
     sample = write_table(training(labels, "toxic", remainder(F.col("doc_id"), mod) != held, fit_rows), "toxic-sample")
     lexicon = learn_lexicon(docs.select("doc_id", "text"), sample)

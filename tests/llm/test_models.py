@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -50,6 +51,15 @@ def test_context_and_spelling():
     assert set(f("an innocent line").values()) == set(f("").values()) == {0.0}
 
 
+def test_core_words_count_though_misspelt():
+    m = toxicity.Matcher(toxicity.Lexicon(["idiot", "fragment"], [4.0, 2.0], frozenset(["idiom"]), frozenset(["idiot"])))
+    f = lambda t: dict(zip(toxicity.FEATURES, m.features(t.encode()), strict=True))
+    assert f("such an idoit")["aimed"] == 4 * toxicity.MISSPELT and f("such an idoit")["misspelt"] == 0
+    assert f("idiot idoit idiot")["aimed"] == 4 and f("a fragmet")["misspelt"] == 2 and f("an idiom")["aimed"] == 0
+    loud = f("AB ab ab!")
+    assert (loud["capitals"], loud["marks"], loud["echo"]) == (2 / 9, 1 / 3, 1 / 3)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     d = "/root/testdata/sf0.01"
@@ -73,6 +83,59 @@ def test_held_out_rows(spark, tables, score, label, mod, held):
     assert np.allclose(both["score"], both["s"], atol=1e-6)
 
 
+def test_quoting_lowers_scores_of_real_rows_and_misspelling_keeps_them(spark, tables):
+    docs, marks = tables
+    toxic = docs.join(marks.filter("toxic = 1"), "doc_id").select("doc_id", "text").collect()
+    sample = labels.training(marks, "toxic", labels.remainder(F.col("doc_id"), 3) != 1, toxicity.FIT_ROWS)
+    lexicon = toxicity.learn_lexicon(docs.select("doc_id", "text"), sample)
+    core = [w for w in lexicon.words[:10] if len(w) >= toxicity.FUZZY]
+    assert len(core) >= 5
+    rows, kinds = [], ("plain", "quoted", "misspelt")
+    for r in toxic:
+        quoted, wrong = r.text, r.text
+        for w in core:
+            quoted = re.sub(rf"(?i)\b({w})\b", r'he said "\1" there', quoted)
+            wrong = re.sub(rf"(?i)\b({w})\b", lambda m: m[1][:2] + m[1][3:], wrong)
+        if quoted != r.text:
+            rows += [(10**6 + 3 * r.doc_id + k, t) for k, t in enumerate((r.text, quoted, wrong))]
+    assert len(rows) > 60
+    got = toxicity.score_texts(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string")), marks).filter("doc_id >= 1000000").toPandas()
+    by = {k: got[(got["doc_id"] - 10**6) % 3 == i].sort_values("doc_id")["score"].to_numpy() for i, k in enumerate(kinds)}
+    assert (by["plain"] > by["quoted"]).mean() > 0.9 and by["plain"].mean() - by["quoted"].mean() > 0.3
+    # Misspellings count nearly as much as the words.
+    assert by["plain"].mean() - by["misspelt"].mean() < 0.25
+
+
+def test_quality_scores_by_plain_arithmetic(spark, tables):
+    docs, marks = tables
+    rows = docs.join(marks, "doc_id", "left").select("doc_id", "text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")).collect()
+    x = {r.doc_id: np.array(quality_model.statistics((r.text or "").encode())) for r in rows}
+    learn = [r for r in rows if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    fit, check = [r for r in learn if r.fold], [r for r in learn if not r.fold]
+    at = np.array([x[r.doc_id] for r in fit])
+    kernel = quality_model.Kernel(at.mean(0), np.maximum(at.std(0), 1e-6))
+    f, y = kernel(at), np.array([r.quality for r in fit])
+    weights = np.linalg.solve(f.T @ f + quality_model.RIDGE * np.eye(quality_model.DIM), f.T @ y)
+    bins = quality_model.BINS
+    place = lambda own: int(np.clip(np.floor((kernel(own[None]) @ weights + 0.5) / 2 * bins), 0, bins - 1)[0])
+    total, ones = np.zeros(bins), np.zeros(bins)
+    for r in check:
+        total[place(x[r.doc_id])] += 1
+        ones[place(x[r.doc_id])] += r.quality
+    full = np.nonzero(total)[0]
+    share = lambda a, b: ones[full[a : b + 1]].sum() / total[full[a : b + 1]].sum()
+    curve, last = np.zeros(bins), 0.0
+    for b in range(bins):
+        if b in full:
+            i = list(full).index(b)
+            last = max(min(share(j, k) for k in range(i, len(full))) for j in range(i + 1))
+        curve[b] = last
+    got = {r.doc_id: r.score for r in quality_model.score_texts(docs, marks).collect()}
+    want = {i: 0.99 * curve[place(v)] + 0.01 * place(v) / (bins - 1) for i, v in x.items()}
+    near = sum(abs(got[i] - v) < 1e-6 for i, v in want.items())
+    assert near >= 0.995 * len(want)  # a text on a bin's edge may fall to either side
+
+
 @pytest.mark.parametrize("score", [toxicity.score_texts, quality_model.score_texts])
 def test_odd_rows(spark, score):
     marks = spark.createDataFrame([(i, i % 2, i % 2, 9) for i in range(60)] + [(None, 1, 1, 1), (3, None, None, None), (4, 1, 1, 1)], LABELS)
