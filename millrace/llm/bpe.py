@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.llm.texts import small_batches, utf8
 
 #: Bytes of texts that are encoded together, of new pieces in one query, of each cache, and of a string that is cached at all.
-GROUP, QUERY, CACHED, CACHED_ONE = 2_000_000, 500_000, 80_000_000, 200
+GROUP, QUERY, CACHED, CACHED_ONE = 2_000_000, 500_000, 110_000_000, 200
 #: Bytes beyond which a piece's recursion works in frames, and bytes of a block of such a piece.
 FRAMED, BLOCK = 64, 60_000
 #: Bytes that an entry of a cache takes besides its text.
@@ -40,26 +40,25 @@ ENTRY = 150
 #: White space besides space and line feed, as the pattern's \s has it.
 _OTHER_SPACE = regex.compile("[\\t\\r\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
+#: g is a byte's piece and position in it.
 CONTRACT = """
-with recursive step(w, pos, id, done) as (
-    select w, pos, id, false from piece_bytes
+with recursive step(g, id, done) as (
+    select (w::bigint << 20) | pos, id, false from piece_bytes
     union all
-    select w, pos, id, done from (
+    select g, case when g = at then merged else id end, at is null from (
         with paired as (
-            select w, pos, id, lead(id) over near as next_id, lag(pos) over near as before
-            from step where not done window near as (partition by w order by pos)
+            select g, id, lead(id) over near as next_id, lead(g >> 20) over near as next_w, lag(g) over near as before
+            from step where not done window near as (order by g)
         ), ranked as (
-            select p.w, p.pos, p.id, p.before, (m.merged::bigint << 20) | p.pos as k
-            from paired p left join merges m on m.l = p.id and m.r = p.next_id
+            select p.g, p.id, p.before, m.merged from paired p left join merges m on p.next_w = p.g >> 20 and m.l = p.id and m.r = p.next_id
         ), best as (
-            select w, min(k) as k, (min(k) & 1048575)::int as pos, (min(k) >> 20)::int as merged from ranked group by w
+            select g >> 20 as w, min((merged::bigint << 20) | (g & 1048575)) as k from ranked group by 1
         )
-        select r.w, r.pos, case when r.pos = b.pos then b.merged else r.id end as id, b.k is null as done
-        from ranked r join best b using (w) where b.k is null or r.before is distinct from b.pos
-    )
+        select r.g, r.id, r.before, case when k is not null then (w << 20) | (k & 1048575) end as at, (k >> 20)::int as merged from ranked r join best on w = r.g >> 20
+    ) where at is null or before is distinct from at
 )
-select w, string_agg(id::varchar, ' ' order by pos) as ids, count(*)::int as n, unhex(string_agg(hex(token), '' order by pos)) as bytes
-from step join tokens using (id) where done group by w order by w
+select g >> 20 as w, string_agg(id::varchar, ' ' order by g) as ids, count(*)::int as n, unhex(string_agg(hex(token), '' order by g)) as bytes
+from step join tokens using (id) where done group by 1 order by 1
 """
 
 
