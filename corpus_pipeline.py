@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
-from millrace.shared import write_table
+from millrace.shared import scope, write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", encode),
 ]
 
-#: SQL can't express the stages' hashes and merges; tests compare each stage with a brute-force version.
+#: SQL can't express the stages' hashes and merges. Tests compare each operator with a brute-force version
+#: (rules, groups, passages, mix) or the tokenizer's library (encoding), and each stage with its operator.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage writes on its way, and its input where that is a stage's output, goes once its output stands.
+        with scope(spark, docs) as keep:
+            docs = keep(write_table(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
