@@ -222,6 +222,17 @@ def history_citations(t: Column) -> Column:
     return F.transform(inner, lambda x: F.struct(F.regexp_extract(x, r"\b((?:1[89]|20)\d{2})\b", 1).alias("year"), F.regexp_extract(x, r"(?i)\bc(?:h|hapter)?\.?\s*(\d+)", 1).alias("chapter"), F.regexp_extract(x, r"(?:§|(?i:\bs(?:ec(?:tion)?)?\.?))\s*(\d+)", 1).alias("section")))
 
 
+def bloom_bits(words: Column, size: int = 8192, hashes: int = 7) -> Column:
+    """The bits that a Bloom filter of ``size`` bits sets for a list of words, in order: ``hashes`` digits groups of each word's SHA-256."""
+    at = lambda w, k: (F.conv(F.substring(F.sha2(w, 256), 1 + 8 * k, 8), 16, 10).cast("long") % size).cast("int")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*(at(w, k) for k in range(hashes)))))))
+
+
+def might_contain(bits: Column, word: Column, size: int = 8192, hashes: int = 7) -> Column:
+    """Whether all of the word's bits are set: true for every word that was added, and for few others."""
+    return F.size(F.array_except(bloom_bits(F.array(word), size, hashes), bits)) == 0
+
+
 # ---- chunks --------------------------------------------------------------------------------------
 def chunks(t: Column, strategy: str = "fixed_size", size: int = 1000, overlap: int = 100, most: int | None = None) -> Column:
     """Pieces of a text: fixed_size by characters with overlap; sentence and paragraph at their ends; semantic as paragraph."""
@@ -255,6 +266,11 @@ def _as_relation(name: str, a: str, b: str, confidence: float):
     return lambda s, t: F.struct(F.lit(name).alias("relation"), F.trim(s).alias("source"), F.trim(t).alias("target"), F.lit(a).alias("source_type"), F.lit(b).alias("target_type"), F.lit(confidence).alias("confidence"))
 
 
+def _pair(name: str, pattern: str, a: str, b: str, confidence: float):
+    make = _as_relation(name, a, b, confidence)
+    return lambda x: make(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2))
+
+
 def extract_entities(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, name, entity_type, confidence: the first of each (lower name, type) by rule.
 
@@ -276,8 +292,10 @@ def extract_relations(docs: DataFrame, rules: tuple = RELATION_RULES) -> DataFra
     """docs(doc_id, text) -> doc_id, relation, source, target, source_type, target_type, confidence."""
     found = []
     for name, pattern, a, b, confidence in rules:
-        sources, targets = (F.regexp_extract_all("text", F.lit(_bounded(pattern)), F.lit(g)) for g in (1, 2))
-        found.append(F.zip_with(sources, targets, _as_relation(name, a, b, confidence)))
+        bounded = _bounded(pattern)
+        # Each text is searched once; the two groups are taken from what was found.
+        pieces = F.regexp_extract_all("text", F.lit(bounded), F.lit(0))
+        found.append(F.transform(pieces, _pair(name, bounded, a, b, confidence)))
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.*").distinct()
 
 

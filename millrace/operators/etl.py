@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.registry import haversine_km
+from millrace.operators.components import connected_components
 from millrace.operators.stats import micros
+from millrace.shared import write_table
 
 
 def exact_dedup(df: DataFrame, content: str, name: str, canonical: Column | None = None) -> DataFrame:
@@ -149,3 +152,51 @@ def bins(events: DataFrame, ts: str, lat: str, lon: str, unit: str = "day", cell
 def queue_next(tasks: DataFrame) -> DataFrame:
     """The oldest queued task: a look, no claim."""
     return tasks.filter("status = 'queued'").orderBy("created_at", "task_id").limit(1)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of a lookup table(key unique); rows without an entry go. Spark broadcasts the table if its size allows."""
+    return rows.join(table, key)
+
+
+def fuzzy_dedup(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Of rows whose columns are equal but for case, marks and white space, the one that is first by ``order``."""
+    plain = [F.regexp_replace(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " ") for c in columns]
+    w = W.partitionBy(*(F.trim(c) for c in plain)).orderBy(order)
+    name = "rn_" + "_".join(df.columns)
+    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) == 1).drop(name)
+
+
+#: Bits of the six blocks that a 64-bit signature is cut into; of two within three bits, three blocks at least are equal.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+
+
+def simhash64(docs: DataFrame) -> DataFrame:
+    """doc_id, fp: a bit for each of the first 64 of the SHA-1 of shingles of three words [a-z0-9]+ (fewer: all), set where at least half have it. No words: 0."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    own = docs.select("doc_id", words.alias("w"))
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    shingles = own.select("doc_id", F.explode_outer(F.transform(starts, lambda i: F.conv(F.substring(F.sha1(F.array_join(F.slice("w", i, 3), " ")), 1, 16), 16, -10).cast("long"))).alias("h"))
+    bits = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    sums = shingles.groupBy("doc_id").agg(F.count("h").alias("n"), *bits)
+    fp = F.lit(0).cast("long")
+    for i in range(64):
+        fp = fp.bitwiseOR(F.when((F.col("n") > 0) & (2 * F.col(f"b{i}") >= F.col("n")), F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return sums.select("doc_id", fp.alias("fp"))
+
+
+def simhash_groups(docs: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, fp, group_id: the least doc_id that links of at most three bits reach. Signatures meet on three equal blocks of six, which no such pair lacks."""
+    if most > 3:
+        raise ValueError("the blocks are complete up to three bits")
+    signed = write_table(simhash64(docs), "signatures")
+    one = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in BLOCKS]
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), *(part[i].alias(f"x{j}") for j, i in enumerate(c))) for k, c in enumerate(combinations(range(6), 3))))
+    keyed = one.select("fp", F.explode(keys).alias("key"))
+    near = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+    pairs = near.filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    groups = connected_components(pairs).withColumnRenamed("node", "fp")
+    of = one.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = of.groupBy("component").agg(F.min("least").alias("group_id"))
+    return signed.join(of.join(named, "component").select("fp", "group_id"), "fp").select("doc_id", "fp", "group_id")

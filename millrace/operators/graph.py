@@ -53,12 +53,15 @@ class Graph:
             e = e.withColumn("rn", F.row_number().over(W.partitionBy("src").orderBy("dst", "type"))).filter(F.col("rn") <= max_per_node).drop("rn")
         return e
 
-    def traverse(self, ids: DataFrame, max_depth: int, types: list[str] | None = None, direction: str = "out", max_nodes: int | None = None) -> DataFrame:
+    def traverse(self, ids: DataFrame, max_depth: int, types: list[str] | None = None, direction: str = "out", max_nodes: int | None = None, whole: bool = False) -> DataFrame:
         """id, depth: least number of hops from ids(id), which have 0 themselves.
 
-        ``max_nodes`` keeps the nearest, and of equally near ones those with the least id.
+        ``max_nodes`` keeps the nearest, and of equally near ones those with the least id. With ``whole``, nodes
+        that may lie beyond ``max_depth`` raise. The edges are written once, in order of where they start.
         """
         edges = self.directed(types, direction).select("src", "dst").distinct()
+        if max_depth > 1:
+            edges = write_table(edges, "traverse-edges")
         seen = write_table(ids.select("id").distinct().withColumn("depth", F.lit(0)), "traverse")
         front = seen
         for depth in range(1, max_depth + 1):
@@ -69,6 +72,9 @@ class Graph:
             seen = seen.union(front)
             if max_nodes is not None and seen.count() >= max_nodes:
                 break
+        else:
+            if whole and not front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).join(seen, "id", "left_anti").isEmpty():
+                raise RuntimeError(f"there are nodes beyond {max_depth} hops")
         return seen if max_nodes is None else seen.orderBy("depth", "id").limit(max_nodes)
 
     def focus(self, node: str, max_depth: int) -> Graph:
@@ -76,10 +82,10 @@ class Graph:
         near = self.traverse(self.nodes.filter(F.col("id") == node).select("id"), max_depth, direction="both").select("id")
         return Graph(self.nodes.join(near, "id", "left_semi"), self.edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi"))
 
-    def closure(self, ids: DataFrame, types: list[str] | None = None, direction: str = "out", max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
-        """What ids reach, as (id, depth), and the edges used, which start before the last depth."""
-        reached = self.traverse(ids, max_depth, types, direction)
-        used = self.directed(types, direction).join(reached.filter(F.col("depth") < max_depth).select(F.col("id").alias("src")), "src")
+    def closure(self, ids: DataFrame, types: list[str] | None = None, direction: str = "out", max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """What ids reach, as (id, depth), and the edges used, which start before the last depth. Without ``max_depth`` all of it, which raises beyond 64 hops."""
+        reached = self.traverse(ids, max_depth or 64, types, direction, whole=max_depth is None)
+        used = self.directed(types, direction).join(reached.filter(F.col("depth") < (max_depth or 64)).select(F.col("id").alias("src")), "src")
         return reached, used
 
     def paths(self, ids: DataFrame, max_depth: int, types: list[str] | None = None, direction: str = "out") -> DataFrame:
@@ -96,9 +102,9 @@ class Graph:
         return out.select("path")
 
     def impact(self, ids: DataFrame, types: list[str] | None = None) -> DataFrame:
-        """direction, id, depth of everything upstream and downstream."""
-        down = self.traverse(ids, 64, types, "out").filter("depth > 0").withColumn("direction", F.lit("downstream"))
-        up = self.traverse(ids, 64, types, "in").filter("depth > 0").withColumn("direction", F.lit("upstream"))
+        """direction, id, depth of everything upstream and downstream. Raises beyond 64 hops."""
+        down = self.traverse(ids, 64, types, "out", whole=True).filter("depth > 0").withColumn("direction", F.lit("downstream"))
+        up = self.traverse(ids, 64, types, "in", whole=True).filter("depth > 0").withColumn("direction", F.lit("upstream"))
         return down.union(up).select("direction", "id", "depth")
 
     # ---- measures -------------------------------------------------------------------------------

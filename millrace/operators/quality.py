@@ -254,3 +254,9 @@ def trend(df: DataFrame, key: str, order: str, value: str, threshold: float = 0.
     s = df.groupBy(key).agg((F.max_by(value, order) - F.min_by(value, order)).alias("change"), F.count("*").alias("n"))
     edge = threshold * F.col("n")
     return s.select(key, "change", F.when(F.col("change") > edge, "improving").when(F.col("change") < -edge, "degrading").otherwise("stable").alias("trend"))
+
+
+def sorted_entities(entities: DataFrame) -> DataFrame:
+    """entities with place, from 1 in order of id, type, text and falling confidence in each ontology."""
+    w = W.partitionBy("ontology_id").orderBy("id", "type", "text", F.desc("confidence"))
+    return entities.withColumn("place", F.row_number().over(w))

@@ -32,10 +32,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from millrace.plans import catalog_more  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -54,13 +57,6 @@ def g(spark: SparkSession, d: str) -> Graph:
     return _graphs[key]
 
 
-def nation_graph(spark: SparkSession, d: str) -> Graph:
-    """Nations, regions and suppliers."""
-    whole = g(spark, d)
-    keep = lambda c: F.split(c, ":")[0].isin("Nation", "Region", "Supplier")
-    return Graph(whole.nodes.filter(keep("id")), whole.edges.filter(keep("src") & keep("dst")))
-
-
 # ---- graph queries -------------------------------------------------------------------------------
 @query("select c_name as name, count(*) as n from customer join orders on o_custkey = c_custkey where o_totalprice > 100000 group by c_name order by n desc, name limit 10")
 def cypher_match_agg_topk(spark, d):
@@ -140,36 +136,43 @@ def graph_degrees(spark, d):
     return g(spark, d).edges.distinct().select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").count().agg(F.count("*").alias("ends"), F.max("count").alias("max_degree"), F.round(F.avg("count"), 6).alias("avg_degree"))
 
 
-@query("with n as (select 'Nation:' || n_nationkey as id from nation union all select 'Region:' || r_regionkey from region union all select 'Supplier:' || s_suppkey from supplier), e as (select 'Supplier:' || s_suppkey as src, 'Nation:' || s_nationkey as dst from supplier union all select 'Nation:' || n_nationkey, 'Region:' || n_regionkey from nation), deg as (select id, count(*) c from (select src as id from e union all select dst from e) group by id) select (select count(*) from n) as n_nodes, (select count(*) from e) as n_edges, round((select avg(c) from deg), 6) as avg_degree, (select max(c) from deg) as max_degree, (select count(*) from region) as n_components, round((select count(*) from e) / ((select count(*) from n) * ((select count(*) from n) - 1) / 2.0), 9) as density")
+#: All nodes, and all edges with their types, as often as the graph has them.
+_NODES = "n as (select 'Customer:' || c_custkey as id, 'Customer' as label, c_name as name from customer union all select 'Order:' || o_orderkey, 'Order', null from orders union all select 'Part:' || p_partkey, 'Part', p_name from part union all select 'Supplier:' || s_suppkey, 'Supplier', s_name from supplier union all select 'Nation:' || n_nationkey, 'Nation', n_name from nation union all select 'Region:' || r_regionkey, 'Region', r_name from region)"
+_ALL_EDGES = "e as (select 'Customer:' || o_custkey as src, 'Order:' || o_orderkey as dst, 'PLACED' as type from orders union all select 'Order:' || l_orderkey, 'Part:' || l_partkey, 'CONTAINS' from lineitem union all select distinct 'Part:' || l_partkey, 'Supplier:' || l_suppkey, 'SUPPLIED_BY' from lineitem union all select 'Customer:' || c_custkey, 'Nation:' || c_nationkey, 'LIVES_IN' from customer union all select 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey, 'BASED_IN' from supplier union all select 'Nation:' || n_nationkey, 'Region:' || n_regionkey, 'IN_REGION' from nation)"
+#: What the node with the least name in the largest component reaches; all other nodes are components of their own in these tables.
+_REACHED = "b as (select src, dst from e union select dst, src from e), s(id) as (select 'Region:0' union select dst from s join b on src = id), least as (select min(id) as least from s)"
+
+
+@query(f"with recursive {_NODES}, {_ALL_EDGES}, {_REACHED}, deg as (select id, count(*) as c from (select src as id from e union all select dst from e) group by id) select (select count(*) from n) as n_nodes, (select count(*) from e) as n_edges, round(avg(c), 6) as avg_degree, max(c) as max_degree, 1 + (select count(*) from n where id not in (select id from s)) as n_components, round((select count(*) from e) / ((select count(*) from n) * ((select count(*) from n) - 1) / 2), 9) as density from deg")
 def graph_metrics(spark, d):
-    return nation_graph(spark, d).metrics().withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
+    return g(spark, d).metrics().withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
 
 
-@query("select 'Nation:' || n_nationkey as id, (select min(x) from (select 'Region:' || n_regionkey as x union all select 'Nation:' || m.n_nationkey from nation m where m.n_regionkey = n.n_regionkey)) as component from nation n")
+@query(f"with recursive {_NODES}, {_ALL_EDGES}, {_REACHED} select id, case when id in (select id from s) then least else id end as component from n, least")
 def connected_components(spark, d):
-    return nation_graph(spark, d).components().filter("id like 'Nation:%'")
+    return g(spark, d).components()
 
 
-@query("with e as (select 'Supplier:' || s_suppkey as src, 'Nation:' || s_nationkey as dst from supplier union all select 'Nation:' || n_nationkey, 'Region:' || n_regionkey from nation), n as (select 'Nation:' || n_nationkey as id from nation union all select 'Region:' || r_regionkey from region union all select 'Supplier:' || s_suppkey from supplier) select id, (select count(*) from e where dst = id) as in_degree, (select count(*) from e where src = id) as out_degree, (select count(*) from e where dst = id or src = id) as degree from n")
+@query(f"with {_NODES}, {_ALL_EDGES} select id, (select count(*) from e where dst = id) as in_degree, (select count(*) from e where src = id) as out_degree, (select count(*) from e where dst = id) + (select count(*) from e where src = id) as degree from n")
 def lineage_degrees(spark, d):
-    return nation_graph(spark, d).degrees()
+    return g(spark, d).degrees()
 
 
-@query("select 'Region:' || r_regionkey as id, 'leaf' as kind from region union all select 'Supplier:' || s_suppkey, 'root' from supplier union all select 'Nation:' || n_nationkey, 'root' from nation where n_nationkey not in (select s_nationkey from supplier)")
+@query(f"with {_NODES}, {_ALL_EDGES} select id, 'leaf' as kind from n where id not in (select src from e) union all select id, 'root' from n where id not in (select dst from e)")
 def roots_and_leaves(spark, d):
-    graph = nation_graph(spark, d)
+    graph = g(spark, d)
     return graph.leaves().withColumn("kind", F.lit("leaf")).union(graph.roots().withColumn("kind", F.lit("root")))
 
 
-@query("select 'Nation:' || s_nationkey as id, count(*) + 1 as degree from supplier group by s_nationkey having count(*) + 1 >= 5 union all select 'Region:' || n_regionkey, count(*) from nation group by n_regionkey having count(*) >= 5")
+@query(f"with {_ALL_EDGES}, deg as (select id, count(*) as degree from (select src as id from e union all select dst from e) group by id) select id, degree from deg where degree >= 5")
 def critical_nodes(spark, d):
-    return nation_graph(spark, d).critical(5)
+    return g(spark, d).critical(5)
 
 
-@query("with recursive e as (select 'Supplier:' || s_suppkey as src, 'Nation:' || s_nationkey as dst from supplier union select 'Nation:' || n_nationkey, 'Region:' || n_regionkey from nation), dn(id, depth) as (select 'Nation:1', 0 union select dst, depth + 1 from dn join e on src = id), u(id, depth) as (select 'Nation:1', 0 union select src, depth + 1 from u join e on dst = id) select 'downstream' as direction, id, depth from dn where depth > 0 union all select 'upstream', id, depth from u where depth > 0")
+@query(f"with recursive {_ALL_EDGES}, b as (select distinct src, dst from e), dn(id, depth) as (select 'Supplier:1', 0 union select dst, depth + 1 from dn join b on src = id), up(id, depth) as (select 'Supplier:1', 0 union select src, depth + 1 from up join b on dst = id) select 'downstream' as direction, id, min(depth) as depth from dn where depth > 0 group by id union all select 'upstream', id, min(depth) from up where depth > 0 group by id")
 def impact(spark, d):
-    graph = nation_graph(spark, d)
-    return graph.impact(graph.seeds(["Nation:1"]))
+    graph = g(spark, d)
+    return graph.impact(graph.seeds(["Supplier:1"]))
 
 
 @query("select a.l_partkey as a, b.l_partkey as b, count(distinct a.l_orderkey) as strength from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2 having count(distinct a.l_orderkey) > 1")
@@ -186,23 +189,23 @@ def dangling_edges(spark, d):
     return Graph(nodes, edges).dangling().select(F.substring("dst", 2, 20).cast("bigint").alias("o_orderkey"))
 
 
-@query("select 'Nation:' || n_nationkey as id, case when n_nationkey % 5 = 0 then 'missing' else 'changed' end as state from nation where n_nationkey % 5 = 0 or n_nationkey % 7 = 1")
+@query("select 'Nation:' || n_nationkey as id, case when n_nationkey % 5 = 0 then 'missing' else 'changed' end as state from nation where n_nationkey % 5 = 0 or n_nationkey % 7 = 1 union all select 'Part:' || p_partkey, 'missing' from part where p_partkey % 5 = 0")
 def graph_verify(spark, d):
-    a = nation_graph(spark, d)
-    key = F.split("id", ":")[1].cast("int")
-    b = Graph(a.nodes.filter(~F.col("id").startswith("Nation") | (key % 5 != 0)).withColumn("name", F.when(F.col("id").startswith("Nation") & (key % 7 == 1), "x").otherwise(F.col("name"))), a.edges)
-    return verify(a, b, ["name"])
+    a = g(spark, d)
+    label, key = F.split("id", ":")[0], F.split("id", ":")[1].cast("int")
+    kept = a.nodes.filter(~label.isin("Nation", "Part") | (key % 5 != 0))
+    return verify(a, Graph(kept.withColumn("name", F.when((label == "Nation") & (key % 7 == 1), "x").otherwise(F.col("name"))), a.edges), ["name"])
 
 
-@query("select 'label' as kind, 'Supplier' as name, 'source' as side union all select 'type', 'BASED_IN', 'source'")
+@query("select 'label' as kind, 'Supplier' as name, 'source' as side union all select 'type', 'BASED_IN', 'source' union all select 'type', 'SUPPLIED_BY', 'source'")
 def graph_label_difference(spark, d):
-    a = nation_graph(spark, d)
+    a = g(spark, d)
     return label_difference(a, a.delete_nodes(a.scan("Supplier").select("id"), detach=True))
 
 
-@query("select count(*) as n_nodes, (select count(*) from nation where n_regionkey <> 1) as n_edges from (select n_nationkey from nation union all select r_regionkey from region where r_regionkey <> 1)")
+@query(f"with {_NODES}, {_ALL_EDGES} select (select count(*) from n where label <> 'Supplier' and id <> 'Region:1') as n_nodes, count(*) as n_edges from e where src not like 'Supplier:%' and dst not like 'Supplier:%' and dst <> 'Region:1'")
 def graph_delete(spark, d):
-    a = nation_graph(spark, d)
+    a = g(spark, d)
     a = a.delete_nodes(a.scan("Supplier").select("id"), detach=True)
     a = a.delete_nodes(a.seeds(["Region:1"]).select("id"), detach=True)
     return a.nodes.agg(F.count("*").alias("n_nodes")).crossJoin(a.edges.agg(F.count("*").alias("n_edges")))
@@ -237,9 +240,9 @@ def completeness(spark, d):
     return quality.completeness(t(spark, d, "customer"), ["c_name", "c_acctbal"])
 
 
-@query("select doc_id, round(1.0 - case when length(text) < 10 then 0.3 else 0 end - case when regexp_matches(text, '\\p{L}') and (text = upper(text) or text = lower(text)) then 0.1 else 0 end, 4) as quality from documents where lang = 'en'")
+@query("select doc_id, round(1.0 - case when length(text) < 10 then 0.3 else 0 end - case when regexp_matches(text, '\\p{L}') and (text = upper(text) or text = lower(text)) then 0.1 else 0 end, 4) as quality from documents")
 def text_quality(spark, d):
-    return t(spark, d, "documents").filter("lang = 'en'").select("doc_id", quality.text_quality(F.col("text")).alias("quality"))
+    return t(spark, d, "documents").select("doc_id", quality.text_quality(F.col("text")).alias("quality"))
 
 
 @query("select 'unique:o_custkey' as \"constraint\", o_orderkey::varchar as id from orders where o_custkey in (select o_custkey from orders group by 1 having count(*) > 1) union all select 'custom:big', o_orderkey::varchar from orders where o_totalprice > 400000")
@@ -305,7 +308,12 @@ def rate_limit_window(spark, d):
     return stats.over_limit(t(spark, d, "events"), "user_id", "ts", 3, 86000).select("event_id", "over")
 
 
-@query()
+@query("""with recursive o as (select user_id, ts, row_number() over (partition by user_id order by ts) as rn from events),
+let_in(user_id, ts, rn, held, allowed) as (
+  select user_id, ts, rn, [ts], true from o where rn = 1
+  union all select o.user_id, o.ts, o.rn, case when len([x for x in held if x > o.ts - interval 1 day]) < 3 then list_append([x for x in held if x > o.ts - interval 1 day], o.ts) else [x for x in held if x > o.ts - interval 1 day] end, len([x for x in held if x > o.ts - interval 1 day]) < 3
+  from let_in l join o on o.user_id = l.user_id and o.rn = l.rn + 1)
+select user_id, ts, allowed from let_in""")
 def rate_limit_exact(spark, d):
     return stats.rate_limit(t(spark, d, "events"), "user_id", "ts", 3, 86400)
 
@@ -393,9 +401,10 @@ def session_metrics(spark, d):
 
 
 # ---- text ------------------------------------------------------------------------------------------------------
-@query("select doc_id, [x for x in regexp_extract_all(lower(text), '[a-z0-9]+') if length(x) >= 3][1:5] as words from documents where lang = 'en'")
+@query("with w as (select doc_id, [x for x in regexp_extract_all(lower(text), '[a-z0-9]+') if length(x) >= 3] as words from documents) select doc_id, len(words)::bigint as n, sha256(array_to_string(words, ' ')) as h from w")
 def tokens(spark, d):
-    return t(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.slice(T.tokens(F.col("text"), 3), 1, 5).alias("words"))
+    words = t(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), 3).alias("words"))
+    return words.select("doc_id", F.size("words").cast("bigint").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("h"))
 
 
 @query("select doc_id, sha256(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), ' +', ' ', 'g')) as h from documents")
@@ -436,7 +445,13 @@ def html_title(spark, d):
     return t(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query()
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _a, _b in _ENTITIES:
+    _BARE = f"replace({_BARE}, '{_a}', '{_b}')"
+
+
+@query(f"select page_id, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')) as text, [trim(regexp_replace(x, '(?s)<[^>]+>', '', 'g')) for x in regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)] as headings from pages")
 def html_text(spark, d):
     return t(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"), T.html_headings(F.col("html")).alias("headings"))
 
@@ -456,7 +471,10 @@ def shard_balanced(spark, d):
     return retrieval.balanced_shards(t(spark, d, "embeddings").select("vec_id"), "vec_id", 7)
 
 
-@query()
+_RING = "places as (select ('0x' || substr(h, 1, 16))::ubigint as at, row_number() over (order by h, node) as rn, node from (select md5('node' || n || ':' || i) as h, 'node' || n as node from range(5) a(n), range(150) b(i))), docs as (select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 16))::ubigint as at from documents)"
+
+
+@query(f"with {_RING}, seen as (select doc_id, node, min(case when p.at > d.at then p.rn else p.rn + 750 end) as first from docs d, places p group by 1, 2) select doc_id, list(node order by first)[1:3] as shards from seen group by 1")
 def shard_ring(spark, d):
     return retrieval.ring_assign(t(spark, d, "documents").select("doc_id"), "doc_id", [f"node{i}" for i in range(5)])
 
@@ -477,9 +495,9 @@ def relation_rules(spark, d):
     return T.extract_relations(t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text"))
 
 
-@query("select doc_id from documents where lower(text) like '%license%' order by doc_id limit 20")
+@query("select doc_id, lang, source, n_chars, sha256(text) as h from documents where lower(text) like '%license%' or lower(source) like '%license%' order by doc_id limit 20")
 def like_search(spark, d):
-    return etl.like_search(t(spark, d, "documents"), ["text"], "License", "doc_id", 20).select("doc_id")
+    return etl.like_search(t(spark, d, "documents"), ["text", "source"], "License", "doc_id", 20).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("h"))
 
 
 @query("select doc_id, (case when text ilike '%idiot%' then 1 else 0 end + case when text ilike '%license%' then 1 else 0 end)::int as n from documents")
@@ -523,11 +541,16 @@ def bm25_topk(spark, d):
     return retrieval.bm25(t(spark, d, "documents"), "the idiot License", 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_VECTOR_50 = f"select vec_id as id, list_cosine_similarity(embedding::double[], {_QUERY_SQL}) as score from embeddings order by 1 - list_cosine_similarity(embedding::double[], {_QUERY_SQL}), vec_id limit 50"
+_BM25_50 = "select doc_id as id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score from tf join df using (term), tot group by doc_id order by score desc, doc_id limit 50"
+_BM25 = "b as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents), s as (select doc_id, len(w) as dl, [x for x in w if x in ('license', 'the')] as h from b), tot as (select count(*)::double as n, avg(dl) as mean from s), tf as (select doc_id, dl, term, count(*) as tf from (select doc_id, dl, unnest(h) as term from s) group by 1, 2, 3), df as (select term, ln(1 + ((select n from tot) - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf group by 1)"
+
+
+@query(f"with {_BM25}, v as ({_VECTOR_50}), l as ({_BM25_50}), vs as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as x from v), ls as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as x from l) select id, round(0.6 * coalesce(vs.x, 0) + 0.4 * coalesce(ls.x, 0), 6) as score from vs full join ls using (id) order by 0.6 * coalesce(vs.x, 0) + 0.4 * coalesce(ls.x, 0) desc, id limit 10")
 def hybrid_topk(spark, d):
     v = retrieval.vector_topk(_vectors(spark, d), _QUERY, 50).select("id", (1 - F.col("distance")).alias("score"))
     lex = retrieval.bm25(t(spark, d, "documents"), "license the", 50).select(F.col("doc_id").alias("id"), "score")
-    return retrieval.hybrid(v, lex, 0.6, 10)
+    return retrieval.hybrid(v, lex, 0.6, 10).withColumn("score", F.round("score", 6))
 
 
 @query("with s as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[0-9]+'))  as t from documents) select doc_id as id, round(len(list_intersect(t, ['1', '2', '2024'])) / greatest(len(t), 3), 6) as score from s where len(list_intersect(t, ['1', '2', '2024'])) > 0 order by len(list_intersect(t, ['1', '2', '2024'])) / greatest(len(t), 3) desc, doc_id limit 20")
@@ -537,10 +560,10 @@ def sparse_overlap(spark, d):
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query("select doc_id % 3 as engine, count(*) as n from (select doc_id, source as url, row_number() over (partition by source order by n_chars desc, doc_id % 3, doc_id) as rn from documents) where rn = 1 group by 1")
+@query("select doc_id % 3 as engine, doc_id as rank, source as url, n_chars as score from documents qualify row_number() over (partition by source order by n_chars desc, doc_id % 3, doc_id) = 1")
 def merge_engines(spark, d):
     r = t(spark, d, "documents").select((F.col("doc_id") % 3).alias("engine"), F.col("doc_id").alias("rank"), F.col("source").alias("url"), F.col("n_chars").alias("score"))
-    return retrieval.merge_engines(r, "merge", 10**6).groupBy("engine").agg(F.count("*").alias("n"))
+    return retrieval.merge_engines(r, "merge", 10**6)
 
 
 @query()

@@ -475,20 +475,21 @@ class Compiler:
         return df.select(F.struct("*").alias(p.name))
 
     def hops(self, p: RelPattern) -> DataFrame:
-        """__a, __b, __r: the ends as walked and the edge (of the last hop)."""
+        """__a, __b, __r, __u: the ends as walked, the edge (of the last hop), and all edges walked, none of them twice."""
         e = self.graph.edges
         if p.types:
             e = e.filter(F.col("type").isin(p.types))
-        one = F.struct(*e.columns).alias("__r")
-        out, back = e.select(F.col("src").alias("__a"), F.col("dst").alias("__b"), one), e.select(F.col("dst").alias("__a"), F.col("src").alias("__b"), one)
+        one, key = F.struct(*e.columns).alias("__r"), F.array(F.struct("src", "dst", "type")).alias("__u")
+        out, back = e.select(F.col("src").alias("__a"), F.col("dst").alias("__b"), one, key), e.select(F.col("dst").alias("__a"), F.col("src").alias("__b"), one, key)
         step = {"out": out, "in": back, "both": out.union(back.filter("__a != __b"))}[p.direction]
         if (p.low, p.high) == (1, 1):
             return step
         now, found = step, None
         for n in range(1, p.high + 1):
             if n > 1:
-                more = step.select(F.col("__a").alias("__m"), F.col("__b").alias("__c"), F.col("__r").alias("__s"))
-                now = now.join(more, F.col("__b") == F.col("__m")).select("__a", F.col("__c").alias("__b"), F.col("__s").alias("__r"))
+                more = step.select(F.col("__a").alias("__m"), F.col("__b").alias("__c"), F.col("__r").alias("__s"), F.col("__u").alias("__v"))
+                now = now.join(more, F.col("__b") == F.col("__m")).filter(~F.arrays_overlap("__u", "__v"))
+                now = now.select("__a", F.col("__c").alias("__b"), F.col("__s").alias("__r"), F.concat("__u", "__v").alias("__u"))
             if n >= p.low:
                 found = now if found is None else found.union(now)
         return found
@@ -503,16 +504,11 @@ class Compiler:
                 df = df.filter(F.col("__b") == F.col(f"`{node.name}`").getField("id"))
             else:
                 df = df.join(self.node(node), F.col("__b") == F.col(f"`{node.name}`").getField("id"))
-            df = df.drop("__a", "__b").withColumnRenamed("__r", name)
-            for other in rels:  # an edge is walked once in a pattern
-                if rel.low == rel.high == 1:
-                    same = F.lit(True)
-                    for f in ("src", "dst", "type"):
-                        same = same & (F.col(f"`{name}`").getField(f) == F.col(f"`{other}`").getField(f))
-                    df = df.filter(~same)
-            if rel.low == rel.high == 1:
-                rels.append(name)
-        return df, rels
+            df = df.drop("__a", "__b").withColumnsRenamed({"__r": name, "__u": f"__u{len(rels)}"})
+            for other in range(len(rels)):  # an edge is walked once in a pattern
+                df = df.filter(~F.arrays_overlap(f"__u{len(rels)}", f"__u{other}"))
+            rels.append(name)
+        return df.drop(*(f"__u{i}" for i in range(len(rels)))), rels
 
     def match(self, df: DataFrame | None, clause: tuple) -> DataFrame:
         _, optional, patterns, where = clause
