@@ -278,8 +278,8 @@ def sketch(text: bytes) -> tuple[int, int, bytes]:
     return _majority(np.unique(one)), _majority(_grams(one, 2)), b"".join(_majority(_scatter(five ^ lane)).to_bytes(8, "little", signed=True) for lane in _LANES)
 
 
-def _similar(most: int):
-    """Sorted (key, h, bits) in; links (a, b) out that join each key's members as all close pairs would."""
+def _similar(most: int, bucket: int):
+    """Sorted (key, h, bits) in; links (u, v, null) out that join each key's members as all close pairs would, or (h, null, key) for a member of a crowded key."""
 
     def solve(h: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(h)
@@ -301,22 +301,38 @@ def _similar(most: int):
                 label[np.isin(label, label[near])] = label[i]
         return np.array(a, np.int64), np.array(b, np.int64)
 
+    def emit(u, v, key=None):
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([None] * len(u) if v is None else v, pa.int64()), pa.array([None] * len(u) if key is None else key, pa.int64())], names=["u", "v", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, 4), np.uint64)]
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 4), np.uint64)]
+        crowded = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 4)
             now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), bits]
             held = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = np.searchsorted(held[0], held[0][-1])
-            yield from finish(*(x[:cut] for x in held))
+            last = held[0][-1]
+            cut = np.searchsorted(held[0], last)
+            yield from finish(*(x[:cut] for x in held), crowded)
             held = [x[cut:] for x in held]
-        yield from finish(*held)
+            if len(held[0]) > bucket or crowded == last:
+                crowded = last
+                yield emit(held[1], None, held[0])
+                held = [x[:0] for x in held]
+        yield from finish(*held, crowded)
 
-    def finish(key, h, bits):
-        if len(key) < 2:
+    def finish(key, h, bits, crowded):
+        if not len(key):
             return
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
         size = np.diff(np.append(first, len(key)))
+        many = np.repeat((size > bucket) | (key[first] == crowded if crowded is not None else False), size)
+        if many.any():
+            yield emit(h[many], None, key[many])
+        few = (size <= bucket) & ~many[first]
+        first, size = first[few], size[few]
         left, right = [], []
         pair = first[size == 2]
         near = pair[np.bitwise_count(bits[pair] ^ bits[pair + 1]).sum(1) <= most]
@@ -328,7 +344,7 @@ def _similar(most: int):
             right.append(b)
         a, b = _forest(np.concatenate(left), np.concatenate(right))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield emit(a, b)
 
     return run
 
@@ -360,7 +376,7 @@ def _same(sets: list[np.ndarray], bits: np.ndarray, most: int) -> np.ndarray:
 
 
 def _verified(most: int):
-    """Sorted (component, h, bits, shingles) in; links (u, v) between a verified group's members and one of them out."""
+    """Sorted (group, h, bits, shingles) in; links (u, v) between a verified group's members and one of them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, h, bits, sets = None, [], [], []
@@ -386,31 +402,120 @@ def _verified(most: int):
     return run
 
 
-def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
+def _across(most: int):
+    """Sorted (group, side, h, label, bits, shingles) in; links (u, v) between rows of side 1 and those of side 0 that have another label. Side 1 is streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, label, bits, sets = None, [], [], [], []
+        size = own_bits = own_label = np.empty(0)
+        for batch in batches:
+            u, v = [], []
+            for group, side, a, name, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if group != now:
+                    now, h, label, bits, sets, size = group, [], [], [], [], np.empty(0)
+                one = np.frombuffer(c, np.uint64)
+                if side == 0:
+                    h.append(a)
+                    label.append(name)
+                    bits.append(b)
+                    sets.append(one)
+                    continue
+                if len(size) != len(h):
+                    size, own_label = np.array([len(x) for x in sets]), np.array(label, np.int64)
+                    own_bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, 4)
+                if not len(h):
+                    continue
+                n = len(one)
+                other = np.nonzero((own_label != name) & (SIMILAR[1] * np.minimum(size, n) >= SIMILAR[0] * np.maximum(size, n)))[0]
+                other = other[np.bitwise_count(own_bits[other] ^ np.frombuffer(b, np.uint64)).sum(1) <= most]
+                for j in other.tolist():
+                    both = len(np.intersect1d(sets[j], one, assume_unique=True))
+                    if SIMILAR[1] * both >= SIMILAR[0] * (len(sets[j]) + n - both):
+                        u.append(a)
+                        v.append(h[j])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+#: Bytes of shingle sets that are compared with each other in one task.
+TASK_BYTES = 64 << 20
+
+
+def _verified_links(sets: DataFrame, most: int, limit: int) -> tuple[DataFrame, bool]:
+    """sets(component, h, bits, shingles), written -> (u, v): links that join what all pairs of a component at SIMILAR join; and whether they are stars around v.
+
+    A component of more than ``limit`` bytes is dealt out in blocks: each block is solved, then what its groups' first members
+    make of each other. Only rows outside the component's largest group so far are then compared with all others of
+    another group, block by block; in a large group of near copies these are few.
+    """
+    sizes = sets.groupBy("component").agg(F.ceil(F.sum(F.length("shingles") + 64) / limit).cast("int").alias("blocks"))
+    big = write_table(sizes.filter("blocks > 1"), "big-components")
+    if big.isEmpty():
+        ordered = sets.select("component", "h", "bits", "shingles").repartition("component").sortWithinPartitions("component", "h")
+        return write_table(ordered.mapInArrow(_verified(most), "u bigint, v bigint"), "verified"), True
+    rows = sets.join(big, "component", "left").withColumn("block", F.pmod(F.xxhash64("h"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    group = F.when(F.col("blocks").isNull(), F.col("component")).otherwise(F.xxhash64("component", "block"))
+    ordered = rows.select(group.alias("group"), "h", "bits", "shingles").repartition("group").sortWithinPartitions("group", "h")
+    links = write_table(ordered.mapInArrow(_verified(most), "u bigint, v bigint"), "verified")
+    wide = rows.filter("blocks is not null").join(links.select(F.col("u").alias("h"), F.col("v").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    wide = write_table(wide, "wide")
+    first = write_table(wide.filter("h = label").select("component", "h", "bits", "shingles"), "first-members")
+    if first.count() < wide.count():
+        links = links.union(_verified_links(first, most, limit)[0])
+    joined = connected_components(links).withColumnsRenamed({"node": "h", "component": "whole"})
+    wide = write_table(wide.drop("label").join(joined, "h", "left").withColumn("label", F.coalesce("whole", "h")).drop("whole"), "wide")
+    by_label = wide.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles") + 64).alias("bytes"))
+    main = by_label.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "label"))).alias("rest"))
+    main = write_table(main.filter("rest > 0").withColumn("parts", F.ceil(F.col("rest") / limit).cast("int")), "main-groups")
+    held = wide.join(main, "component")
+    part = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    still = held.withColumn("part", every("parts")).withColumn("side", F.lit(0))
+    moved = held.filter("label != main").withColumn("part", part).drop("block").withColumn("block", every("blocks")).withColumn("side", F.lit(1))
+    both = still.unionByName(moved, allowMissingColumns=True).select(F.xxhash64("component", "block", "part").alias("group"), "side", "h", "label", "bits", "shingles")
+    across = both.repartition("group").sortWithinPartitions("group", "side", "h").mapInArrow(_across(most), "u bigint, v bigint")
+    return write_table(links.union(across.distinct()), "verified"), False
+
+
+def similar_groups(docs: DataFrame, most: int = SIMILAR_BITS, bucket: int = BUCKET, limit: int = TASK_BYTES) -> DataFrame:
     """h (hash of a text), doc_id (its least), component (the group, by a member's hash), component_id (its least doc_id).
 
-    A row for each different text. Groups may share a component_id, null among them. Texts that share 0.8 of their five-word shingles differ in few words, so their word and word-pair
+    A row for each different text. Groups may share a component_id, null among them. Texts that share 0.8 of their five-word
+    shingles differ in few words, so their word and word-pair
     fingerprints fall within the reach of the deletion variants although those of the shingles, some ten bits
     apart, don't. Candidates come from the variants of both, if 256 bits of the shingle sets aren't too far
-    apart. What they join is then compared by the sets themselves, and only pairs that share 0.8 are links.
-    Each text of such a candidate group is read once more; the group's sets are in one task.
+    apart. Members of a key that is crowded even when cut once more are all candidates of each other. What candidates join is
+    then compared by the sets themselves, and only pairs that share 0.8 are links. Each text of such a candidate
+    group is read once more; a task holds ``limit`` bytes of sets.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     fields = [("a", "bigint", pa.int64()), ("b", "bigint", pa.int64()), ("bits", "binary", pa.binary())]
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     drawn = per_row(hashed, ["doc_id", "h"], fields, lambda: sketch)
     texts = write_table(drawn.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("a", "b", "bits")).alias("s")).select("h", "doc_id", "s.*"), "sketches")
     keys = F.concat(_variants(F.col("a")), F.transform(_variants(F.col("b")), lambda k: k + F.lit(BITS << SLOT)))
-    keyed = texts.select(F.explode(keys).alias("key"), "h", "bits").repartition("key").sortWithinPartitions("key", "h")
-    found = write_table(keyed.mapInArrow(_similar(most), "u bigint, v bigint").distinct(), "similar")
+
+    def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ordered = keyed.repartition("key").sortWithinPartitions("key", "h")
+        found = write_table(ordered.mapInArrow(_similar(most, bucket), "u bigint, v bigint, key bigint").distinct(), "similar")
+        return found.filter("key is null").select("u", "v"), found.filter("key is not null").select("key", F.col("u").alias("h"))
+
+    found, crowd = candidates(texts.select(F.explode(keys).alias("key"), "h", "bits"))
+    if not crowd.isEmpty():
+        fp = F.when(F.shiftrightunsigned("key", SLOT) < BITS, F.col("a")).otherwise(F.col("b"))
+        more, crowd = candidates(crowd.join(texts, "h").select(F.explode(_rest_variants(F.col("key"), fp)).alias("key"), "h", "bits"))
+        least = crowd.groupBy("key").agg(F.min("h").alias("v"))
+        found = found.union(more).union(crowd.join(least, "key").filter("h != v").select("h", "v"))
     loose = connected_components(found).withColumnRenamed("node", "h")
     members = write_table(texts.select("h", "bits").join(loose, "h"), "candidates")
     # Copies of a text fall together before the exchange.
     once = hashed.groupBy("h").agg(F.first(F.coalesce("text", F.lit(""))).alias("text")).join(members, "h")
-    sets = per_row(once, ["component", "h", "bits"], [("shingles", "binary", pa.binary())], lambda: lambda text: (shingle_set(text),))
-    ordered = sets.repartition("component").sortWithinPartitions("component", "h")
-    sure = write_table(ordered.mapInArrow(_verified(most), "u bigint, v bigint"), "verified")
-    of = texts.select("h", "doc_id").join(sure.select(F.col("u").alias("h"), F.col("v").alias("component")), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    sets = write_table(per_row(once, ["component", "h", "bits"], [("shingles", "binary", pa.binary())], lambda: lambda text: (shingle_set(text),)), "shingle-sets")
+    links_, stars = _verified_links(sets, most, limit)
+    sure = links_.select(F.col("u").alias("h"), F.col("v").alias("component")) if stars else connected_components(links_).withColumnRenamed("node", "h")
+    of = texts.select("h", "doc_id").join(sure, "h", "left").withColumn("component", F.coalesce("component", "h"))
     named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return of.join(named, "component").select("h", "doc_id", "component", "component_id")
 

@@ -108,7 +108,8 @@ def test_forest_joins_the_same_groups():
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {4: 1, 5: 1, 8: 7, 9: 7}
 
 
-def test_similar_groups_against_shingle_sets(spark):
+@pytest.mark.parametrize("bucket, limit", [(4096, 64 << 20), (4096, 20_000), (4, 64 << 20), (2, 9_000)])
+def test_similar_groups_against_shingle_sets(spark, bucket, limit):
     rnd = random.Random(9)
     vocabulary = ["w" + "".join(rnd.choices("abcdefghijk", k=5)) for _ in range(4000)]
     rows, shingles = [], {}
@@ -122,7 +123,7 @@ def test_similar_groups_against_shingle_sets(spark):
     for i, t, *_ in rows:
         w = t.split()
         shingles[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA), bucket=bucket, limit=limit).collect()}
     like = [(a, b) for a in shingles for b in shingles if b < a and len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8]
     assert len(like) > 100
     assert np.mean([got[a] == got[b] for a, b in like]) >= 0.97
@@ -161,3 +162,36 @@ def test_keep_one_of_each_group_whatever_its_doc_ids(spark):
     got = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
     want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (3, texts[6]), (7, texts[7])]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 30_000, 6_000])
+def test_blocks_of_a_component_link_as_all_pairs_do(spark, limit):
+    rnd = random.Random(limit)
+    rows, sets = [], {}
+    for c in range(3):
+        base = rnd.sample(range(1, 10**9), 120)
+        for i in range(60):
+            own = list(base)
+            for _ in range(rnd.choice([0, 2, 6, 9, 14, 30])):
+                own[rnd.randrange(120)] = rnd.randrange(1, 10**9)
+            h = c * 1000 + i
+            sets[h] = set(own)
+            rows.append((c, h, bytearray(32), bytearray(np.array(sorted(sets[h]), np.uint64).tobytes())))
+    table = simhash.write_table(spark.createDataFrame(rows, "component bigint, h bigint, bits binary, shingles binary"), "test-sets")
+    found = simhash._verified_links(table, 64, limit)[0].collect()
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+
+    def groups(pairs):
+        up = {h: h for h in sets}
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in pairs:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+        return {h: find(h) for h in sets}
+
+    want = groups([(a, b) for a in sets for b in sets if a < b and a // 1000 == b // 1000 and near(a, b)])
+    assert groups([tuple(r) for r in found]) == want and len(set(want.values())) > 20
