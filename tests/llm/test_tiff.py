@@ -63,3 +63,89 @@ def test_digests(spark):
         back[r.doc_id] = back.get(r.doc_id, b"") + bytes(r.data)
     assert all(back[i] == tiff.payload((t or "").encode()) for i, t in enumerate(texts))
     assert tiff.digests(df.limit(0)).count() == 0
+
+
+def plain_reader(blob):
+    """The samples of all pages, decoded step by step after the format's description; shares no code with the module."""
+    import struct
+    import zlib
+
+    def lzw(data):
+        bits = "".join(f"{b:08b}" for b in data)
+        at, out, table, width, before = 0, b"", {}, 9, None
+        while at + width <= len(bits):
+            code = int(bits[at : at + width], 2)
+            at += width
+            if code == 256:
+                table, width, before = {i: bytes([i]) for i in range(256)}, 9, None
+                table[256] = table[257] = None
+                continue
+            if code == 257:
+                break
+            if not table:
+                table = {i: bytes([i]) for i in range(256)} | {256: None, 257: None}
+            word = table[code] if code in table else before + before[:1]
+            out += word
+            if before is not None:
+                table[len(table)] = before + word[:1]
+                width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+            before = word
+        return out
+
+    def packbits(data):
+        out, i = b"", 0
+        while i < len(data):
+            n = data[i] - 256 if data[i] > 127 else data[i]
+            if n >= 0:
+                out, i = out + data[i + 1 : i + 2 + n], i + 2 + n
+            else:
+                out, i = out + data[i + 1 : i + 2] * (1 - n if n > -128 else 0), i + 2
+        return out
+
+    assert blob[:4] == b"II*\0"
+    at, out, seen = struct.unpack("<I", blob[4:8])[0], b"", set()
+    while at:
+        (n,) = struct.unpack("<H", blob[at : at + 2])
+        tags = {}
+        for i in range(n):
+            tag, kind, count = struct.unpack("<HHI", blob[at + 2 + 12 * i : at + 10 + 12 * i])
+            size = {3: 2, 4: 4}[kind] * count
+            raw = blob[at + 10 + 12 * i : at + 14 + 12 * i]
+            raw = raw[:size] if size <= 4 else blob[(p := struct.unpack("<I", raw)[0]) : p + size]
+            tags[tag] = struct.unpack("<" + {3: "H", 4: "I"}[kind] * count, raw)
+        width, height, how = tags[256][0], tags[257][0], tags[259][0]
+        seen.add(how)
+        tiled = 324 in tags
+        rows, across = (tags[323][0], tags[322][0]) if tiled else (tags[278][0], width)
+        image = [[None] * width for _ in range(height)]
+        k = 0
+        for y in range(0, height, rows):
+            for x in range(0, width, across):
+                o, size = tags[324 if tiled else 273][k], tags[325 if tiled else 279][k]
+                k += 1
+                data = {8: zlib.decompress, 5: lzw, 32773: packbits}[how](blob[o : o + size])
+                for r in range(rows):
+                    line = [list(data[(r * across + c) * 3 : (r * across + c) * 3 + 3]) for c in range(across)]
+                    if tags[317][0] == 2:
+                        for c in range(1, len(line)):
+                            line[c] = [(a + b) % 256 for a, b in zip(line[c], line[c - 1], strict=False)]
+                    for c in range(across):
+                        if y + r < height and x + c < width:
+                            image[y + r][x + c] = bytes(line[c])
+        out += b"".join(b"".join(line) for line in image)
+        (at,) = struct.unpack("<I", blob[at + 2 + 12 * n : at + 6 + 12 * n])
+    return out, seen
+
+
+def test_files_by_an_independent_reader():
+    import random
+
+    rnd = random.Random(3)
+    kinds = set()
+    texts = [b"", b"a", "ä b".encode() * 70, bytes(rnd.choices(b"abc \n", k=30_000)), b"x" * 200_000, bytes(rnd.randrange(256) for _ in range(70_000))]
+    texts += [bytes(rnd.choices(b"the quick brown fox ", k=rnd.randint(1, 3000))) for _ in range(25)]
+    for text in texts:
+        data, seen = plain_reader(tiff.store(tiff.payload(text)))
+        assert data == text + b" " * (len(data) - len(text)) and len(data) % 192 == 0 and len(data) > 0 and len(data) - len(text) <= 192
+        kinds |= seen
+    assert kinds == {tiff.LZW, tiff.DEFLATE, tiff.PACKBITS}
