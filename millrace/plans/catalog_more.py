@@ -14,6 +14,7 @@ from millrace.operators.graph import Graph, beam
 from millrace.plans import ir, triples
 from millrace.plans.catalog import _ALL_EDGES, _NODES, _QUERY, _QUERY_SQL, _vectors, g, query, t
 from millrace.plans.cypher import cypher
+from millrace.plans.cypher_write import cypher_write
 from millrace.shared import shared_dir, write_table
 from millrace.sources import io
 
@@ -56,7 +57,25 @@ def cypher_introspection(spark, d):
     return out.withColumn("nothing", F.col("nothing").cast("string"))
 
 
-_SEED_EDGES = "select 'Nation:' || n_nationkey as src, 'Region:' || n_regionkey as dst from nation"
+@query("select 'Nation:' || n_nationkey as id, case when n_nationkey = 3 then 'merged' else n_name end as name, case when n_nationkey % 2 = 0 then 'even' end as kind from nation union all select 'Nation:new', 'made', null union all select 'Region:' || r_regionkey, null, null from region")
+def cypher_merge_set(spark, d):
+    a = g(spark, d)
+    a = cypher_write(a, "MERGE (n:Nation {id: 'Nation:3'}) ON CREATE SET n.name = 'made' ON MATCH SET n.name = 'merged'")
+    a = cypher_write(a, "MERGE (n:Nation {id: $id}) ON CREATE SET n.name = 'made' ON MATCH SET n.name = 'merged'", {"id": "Nation:new"})
+    a = cypher_write(a, "MATCH (n:Nation) WHERE n.id IN $even SET n.kind = 'even'", {"even": [f"Nation:{i}" for i in range(0, 25, 2)]})
+    a = cypher_write(a, "MATCH (r:Region) REMOVE r.name")
+    return a.nodes.filter(F.array_contains("labels", "Nation") | F.array_contains("labels", "Region")).select("id", "name", "kind")
+
+
+@query(f"with {_NODES}, {_ALL_EDGES}, gone as (select 'Supplier:' || s_suppkey as id from supplier where s_acctbal > 5000) select type, count(*) as n from e where not (type = 'LIVES_IN' and dst = 'Nation:1') and src not in (select id from gone) and dst not in (select id from gone) group by 1 union all select 'IN_ZONE', count(*) from region")
+def cypher_create_delete(spark, d):
+    a = g(spark, d)
+    a = cypher_write(a, "CREATE (z:Zone {id: 'Zone:1', name: 'all'})")
+    a = cypher_write(a, "MATCH (r:Region), (z:Zone) CREATE (r)-[:IN_ZONE]->(z)")
+    a = cypher_write(a, "MATCH (r:Region), (z:Zone) MERGE (r)-[:IN_ZONE]->(z)")
+    a = cypher_write(a, "MATCH (c:Customer)-[l:LIVES_IN]->(n:Nation) WHERE n.id = 'Nation:1' DELETE l")
+    a = cypher_write(a, "MATCH (s:Supplier) WHERE s.acctbal > 5000 DETACH DELETE s")
+    return a.edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_NODES}, {_ALL_EDGES}, near as (select 'Nation:3' as id union select dst from e where src = 'Nation:3' union select src from e where dst = 'Nation:3') select src, dst, type from e where src in (select id from near) and dst in (select id from near)")
@@ -382,6 +401,15 @@ def bloom_filters(spark, d):
     return docs.select("doc_id", "bits", T.might_contain(F.col("bits"), F.lit("license")).alias("has"))
 
 
+_PLACES = "select n_nationkey as doc_id, 'Nation ' || chr(65 + (n_nationkey % 26)::int) || 'ab' as a, 'Region ' || chr(65 + (n_regionkey % 26)::int) || 'cd' as b from nation"
+
+
+@query(f"select doc_id, 'works_at_org' as relation, a as source, b as target from ({_PLACES})")
+def relations_found(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("Nation "), F.char((F.col("n_nationkey") % 26 + 65).cast("int")), F.lit("ab joined Region "), F.char((F.col("n_regionkey") % 26 + 65).cast("int")), F.lit("cd.")).alias("text"))
+    return T.extract_relations(n).select("doc_id", "relation", "source", "target")
+
+
 # ---- scalar functions by group ----------------------------------------------------------------------------
 def _by_name(spark: SparkSession, rows: dict) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("f"), v.alias("v")) for k, v in rows.items()))))
