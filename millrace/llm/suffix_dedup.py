@@ -141,11 +141,11 @@ def suffix_levels(data: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
     after = lambda x, h: np.append(x[h:], np.zeros(min(h, n), np.int64))
     two = one << 9 | after(one, 1)
     rank = np.unique(two << 18 | after(two, 2), return_inverse=True)[1].astype(np.int64)
-    levels, h = [(1, one), (2, two), (4, rank)], 4
+    levels, h = [(1, one.astype(np.int32)), (2, two.astype(np.int32)), (4, rank.astype(np.int32))], 4
     while h < most and n and rank.max() + 1 < n:
         rank = np.unique(rank * (n + 2) + after(rank + 1, h), return_inverse=True)[1].astype(np.int64)
         h *= 2
-        levels.append((h, rank))
+        levels.append((h, rank.astype(np.int32)))
     return levels
 
 
@@ -255,7 +255,7 @@ def _factors(length: int, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for b in batches:
+        for b in (x.slice(i, n) for x in batches for n in [max(1, x.num_rows * SORTED // (2 * max(x.nbytes, 1)))] for i in range(0, x.num_rows, n)):
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             if held.nbytes < SORTED:
                 continue
