@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +36,21 @@ ENTITY_RULES = (
     (r"\b(20[0-9]{2}(?:-20[0-9]{2})?)\b", "date", 0.8),
     (r"\b(?:in|at|from|to|headquartered\s+in)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?:,\s*[A-Z][A-Z])?)\b", "location", 0.8),
 )
+#: What a text must contain (in lower case) for a rule, by its place, to match at all; rules without an entry are tried on all texts.
+NEEDED = {
+    1: ("dr.", "prof."),
+    2: ("principal",),
+    3: ("google", "openai", "anthropic", "microsoft", "meta", "ibm"),
+    4: ("institute", "research", "lab", "center", "university"),
+    5: ("intelligence", "learning", "neural", "vision", "processing"),
+    6: ("transformer", "attention", "self-supervised", "few-shot", "cross-modal"),
+    7: ("physics-informed", "graph", "generative"),
+    8: ("framework", "platform", "system", "technology", "tool", "algorithm"),
+    9: ("project",),
+    10: ("image", "radiology", "pathology", "healthcare", "diagnosis", "medical"),
+    11: ("neurips", "icml", "iclr", "aaai", "ijcai", "nips"),
+    12: ("20",),
+}
 #: Names that are no entity, and types whose rules don't regard case.
 STOP_NAMES = ("timeline", "the", "and", "our", "this", "that", "with", "from")
 CASELESS = ("field", "technology")
@@ -276,9 +293,12 @@ def extract_entities(docs: DataFrame) -> DataFrame:
 
     Stays in the JVM: a rule is an expression, so a text is read once for all rules.
     """
-    found = []
+    found, low = [], F.col("low")
+    docs = docs.withColumn("low", F.lower("text"))
     for i, (pattern, kind, confidence) in enumerate(ENTITY_RULES):
         hits = F.regexp_extract_all("text", F.lit(("(?i)" if kind in CASELESS else "") + _bounded(pattern)), F.lit(1))
+        if i in NEEDED:
+            hits = F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in NEEDED[i]]), hits).otherwise(F.array().cast("array<string>"))
         names = F.transform(hits, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), r"^[.,;:]+|[.,;:]+$", ""))
         fixed = [F.lit(i).alias("rule"), F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence")]
         found.append(F.transform(names, _with_place(fixed)))

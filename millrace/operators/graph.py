@@ -157,14 +157,14 @@ class Graph:
         return lost.distinct()
 
     # ---- derived edges ---------------------------------------------------------------------------
-    def suggest(self, min_score: float = 0.3, limit: int = 20, max_degree: int = 1000) -> DataFrame:
+    def suggest(self, min_score: float = 0.3, limit: int = 20, max_degree: int | None = None) -> DataFrame:
         """src, dst, score: missing edges of two nodes with common neighbours, by Jaccard of neighbours.
 
-        A neighbour with more than ``max_degree`` edges says nothing of those it joins and is no witness.
+        All neighbours are witnesses; with ``max_degree``, those with more edges aren't, which changes scores but spares the pairs around hubs.
         """
         both = self.directed(direction="both").select("src", "dst").distinct()
         degree = both.groupBy("src").agg(F.count("*").alias("d"))
-        witness = both.join(degree.filter(F.col("d") <= max_degree).select(F.col("src").alias("dst")), "dst", "left_semi")
+        witness = both if max_degree is None else both.join(degree.filter(F.col("d") <= max_degree).select(F.col("src").alias("dst")), "dst", "left_semi")
         a, b = witness.alias("a"), witness.alias("b")
         common = a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.src") < F.col("b.src"))).groupBy(F.col("a.src").alias("x"), F.col("b.src").alias("y")).agg(F.count("*").alias("common"))
         new = common.join(both.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_anti")
@@ -272,13 +272,25 @@ def cooccurrence(mentions: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def resolve_entities(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """entities(id, name) -> id, canonical: names of the same first letters whose edit similarity reaches the threshold, transitively."""
-    key = F.lower(F.trim("name"))
-    own = entities.select("id", key.alias("name"), F.substring(key, 1, 3).alias("block"))
-    a, b = own.alias("a"), own.alias("b")
-    alike = 1 - F.levenshtein("a.name", "b.name") / F.greatest(F.length("a.name"), F.length("b.name"), F.lit(1))
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).filter(alike >= threshold)
-    groups = connected_components(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))
+    """entities(id, name) -> id, canonical: names whose edit similarity 1 - distance / length of the longer reaches the threshold, transitively.
+
+    Two names within k edits share one of k + 1 pieces of the longer, moved by k places at most. So the longer posts its pieces, the
+    shorter looks up what could be one of them, for each length that it could be matched with, and the distance decides.
+    """
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("the threshold lies between 0.5 and 1")
+    edits = f"cast(floor({1 - threshold!r} * n + 1e-9) as int)"
+    piece = f"struct(n, i, cast(floor(i * n / ({edits} + 1)) as int) as at, cast(floor((i + 1) * n / ({edits} + 1)) as int) - cast(floor(i * n / ({edits} + 1)) as int) as size)"
+    pieces = f"transform(sequence(0, {edits}), i -> {piece})"
+    own = entities.select("id", F.lower(F.trim("name")).alias("name")).filter("length(name) > 0").withColumn("n", F.length("name"))
+    posted = own.withColumn("p", F.explode(F.expr(pieces))).selectExpr("id", "name", "n", "p.i as i", "substring(name, p.at + 1, p.size) as piece")
+    lengths = f"sequence(length(name), cast(floor(length(name) / {threshold!r} + 1e-9) as int))"
+    probes = own.drop("n").withColumn("n", F.explode(F.expr(lengths))).withColumn("p", F.explode(F.expr(pieces))).withColumn("k", F.expr(edits))
+    probes = probes.withColumn("lo", F.expr("greatest(0, p.at - k)")).withColumn("hi", F.expr("least(length(name) - p.size, p.at + k)")).filter("hi >= lo")
+    probes = probes.selectExpr("id as own", "name as mine", "n", "p.i as i", "explode(array_distinct(transform(sequence(lo, hi), s -> substring(name, s + 1, p.size)))) as piece")
+    met = probes.join(posted, ["n", "i", "piece"]).filter("own != id").select("own", "mine", "id", "name").distinct()
+    pairs = met.filter(1 - F.levenshtein("mine", "name") / F.greatest(F.length("mine"), F.length("name")) >= threshold - 1e-9)
+    groups = connected_components(pairs.select(F.col("own").alias("u"), F.col("id").alias("v")))
     return entities.select("id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("canonical"))
 
 

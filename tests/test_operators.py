@@ -231,3 +231,41 @@ def test_streams(spark, tmp_path):
     live = metrics.run_once(metrics.limiter(stream, "u", "ts", 2, 10), "l", "append").orderBy("ts").collect()
     assert len(live) == 6, live
     assert [r.allowed for r in live] == [r.allowed for r in stats.rate_limit(rows, "u", "ts", 2, 10).orderBy("ts").collect()]
+
+
+def test_entities_resolve_as_all_pairs_do(spark):
+    import random
+
+    from millrace.operators.graph import resolve_entities
+
+    rnd = random.Random(7)
+    names = []
+    for _ in range(25):
+        base = "".join(rnd.choices("abcdef ", k=rnd.randint(1, 30))).strip() or "a"
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                rnd.choice([lambda w=w: w.insert(rnd.randrange(len(w) + 1), "x"), lambda w=w: w and w.pop(rnd.randrange(len(w))), lambda w=w: w and w.__setitem__(rnd.randrange(len(w)), "y")])()
+            names.append("".join(w).strip() or "b")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    up = list(range(len(names)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(names):
+        for j in range(i):
+            if 1 - distance(a, names[j]) / max(len(a), len(names[j])) >= 0.8 - 1e-9:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.id: r.canonical for r in resolve_entities(spark.createDataFrame(list(enumerate(names)), "id int, name string"), 0.8).collect()}
+    assert got == {i: find(i) for i in range(len(names))} and len(set(got.values())) < len(names)
