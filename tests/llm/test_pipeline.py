@@ -96,3 +96,21 @@ def test_each_stage_does_what_its_operator_says(spark, sf):
         taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
     assert taken == {r.doc_id: r.copies for r in mixing.plan(docs).collect() if r.copies}
     assert bpe.__name__ and cp.encode(spark, docs, sf).count() == len(rows)
+
+
+CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint, doc string, hash string, times string, copy string, spans string, h bigint, text_hash string, component bigint, key string"
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_take_odd_rows(spark, name, stage):
+    rnd = random.Random(9)
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(rnd.choices(words, k=60)), "en", "s", 60, "x", None, "1", "c", "p", 1, "t", 2, "k") for i in range(30)]
+    rows += [rows[0], rows[0], (None, rows[1][1] + " end", None, None, None, *[None] * 9), (None, None, None, None, None, *[None] * 9), (77, "", "", "", 0, *[None] * 9), (78, "long " + " ".join(rnd.choices(words, k=60_000)), "en", "s", 0, *[None] * 9)]
+    docs = spark.createDataFrame(rows, CLASH)
+    for some in (docs, docs.limit(0)):
+        out = stage(spark, some, "")
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+        n = out.count()
+        assert n == 0 if some is not docs else n > 20
