@@ -45,7 +45,7 @@ CONTRACT = """
 with recursive step(g, id, done) as (
     select (w::bigint << 20) | pos, id, false from piece_bytes
     union all
-    select g, case when g = at then merged else id end, at is null from (
+    select g, case when g = place then merged else id end, place is null from (
         with paired as (
             select g, id, lead(id) over near as next_id, lead(g >> 20) over near as next_w, lag(g) over near as before
             from step where not done window near as (order by g)
@@ -54,8 +54,8 @@ with recursive step(g, id, done) as (
         ), best as (
             select g >> 20 as w, min((merged::bigint << 20) | (g & 1048575)) as k from ranked group by 1
         )
-        select r.g, r.id, r.before, case when k is not null then (w << 20) | (k & 1048575) end as at, (k >> 20)::int as merged from ranked r join best on w = r.g >> 20
-    ) where at is null or before is distinct from at
+        select r.g, r.id, r.before, case when k is not null then (w << 20) | (k & 1048575) end as place, (k >> 20)::int as merged from ranked r join best on w = r.g >> 20
+    ) where place is null or before is distinct from place
 )
 select g >> 20 as w, string_agg(id::varchar, ' ' order by g) as ids, count(*)::int as n, unhex(string_agg(hex(token), '' order by g)) as bytes
 from step join tokens using (id) where done group by 1 order by 1
