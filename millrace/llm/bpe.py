@@ -18,7 +18,11 @@ uses, which costs time only.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import hashlib
+import threading
 from collections import ChainMap
 from collections.abc import Callable, Iterator
 
@@ -274,14 +278,47 @@ class Texts:
         return [[one[p] for p in head] + [many[p] for p in parts] for head, parts in cut]
 
 
+#: Seconds after a task's end in which a worker process keeps codec and caches for the next task; then other stages have the memory.
+IDLE = 3.0
 _open: dict[tuple[str, str], Texts] = {}
+_closing: threading.Timer | None = None
 
 
 def _texts(path: str, pattern: str) -> Texts:
     """One for each worker process, which Spark uses again for later tasks."""
-    if (path, pattern) not in _open:
-        _open[path, pattern] = Texts(path, pattern)
-    return _open[path, pattern]
+    if _closing is not None:
+        _closing.cancel()
+    found = _open.get((path, pattern)) or Texts(path, pattern)
+    _open[path, pattern] = found
+    return found
+
+
+def _close() -> None:
+    _open.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _close_later() -> None:
+    global _closing
+    if _closing is not None:
+        _closing.cancel()
+    _closing = threading.Timer(IDLE, _close)
+    _closing.daemon = True
+    _closing.start()
+
+
+def _held(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that lets go of what the worker process holds some time after its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _close_later()
+
+    return whole
 
 
 def slices(text: str, find: Callable[[str], Iterator], size: int = GROUP) -> Iterator[str]:
@@ -351,7 +388,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                 cols["ids"] = pa.array([np.concatenate(x) if x else np.empty(0, np.int32) for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols | {"ids_sha256": pa.array([x.hexdigest() for x in coded], pa.string()), "decoded_sha256": pa.array([x.hexdigest() for x in decoded], pa.string())})
 
-    return inp.mapInArrow(run, schema)
+    return inp.mapInArrow(_held(run), schema)
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -366,4 +403,4 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 out = codec.decode([x or [] for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "text": pa.array([x.decode("utf-8", "replace") for x in out], pa.string())})
 
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, text string")
+    return coded.select("doc_id", "ids").mapInArrow(_held(run), f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, text string")

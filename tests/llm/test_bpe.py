@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 import tiktoken
@@ -80,3 +81,14 @@ def test_long_texts_of_many_different_words(spark, own):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, tokenizers.PATTERN).count() == 0
+
+
+def test_an_idle_worker_lets_go_of_caches(monkeypatch):
+    monkeypatch.setattr(bpe, "IDLE", 0.3)
+    monkeypatch.setattr(bpe, "_open", {})
+    task = bpe._held(lambda batches: (bpe._texts(PATH, tokenizers.PATTERN).encode([b]) for b in batches))
+    first = list(task(["one two"]))
+    held = bpe._open[PATH, tokenizers.PATTERN]
+    assert list(task(["one two"])) == first and bpe._open[PATH, tokenizers.PATTERN] is held
+    time.sleep(1)
+    assert not bpe._open and list(task(["one two"])) == first
