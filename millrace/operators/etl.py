@@ -193,10 +193,11 @@ def simhash_groups(docs: DataFrame, most: int = 3) -> DataFrame:
     one = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in BLOCKS]
     keys = F.array(*(F.struct(F.lit(k).alias("k"), *(part[i].alias(f"x{j}") for j, i in enumerate(c))) for k, c in enumerate(combinations(range(6), 3))))
+    # Spark takes the twenty keys of a signature for one row, and files of signatures for what they are packed: unhinted, the driver would collect a side to broadcast it.
     keyed = one.select("fp", F.explode(keys).alias("key"))
-    near = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+    near = keyed.alias("a").hint("merge").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
     pairs = near.filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
     groups = connected_components(pairs).withColumnRenamed("node", "fp")
-    of = one.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    of = one.hint("merge").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = of.groupBy("component").agg(F.min("least").alias("group_id"))
-    return signed.join(of.join(named, "component").select("fp", "group_id"), "fp").select("doc_id", "fp", "group_id")
+    return signed.hint("merge").join(of.hint("merge").join(named, "component").select("fp", "group_id"), "fp").select("doc_id", "fp", "group_id")
