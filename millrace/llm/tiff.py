@@ -66,59 +66,97 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def _widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code: the table grows by one a code, so their places decide."""
+    return np.minimum(12, 9 + np.searchsorted([512, 1024, 2048], np.arange(258, 258 + n), side="right"))
+
+
 def lzw(data: bytes) -> bytes:
-    table = {bytes([i]): i for i in range(256)}
-    bits, width, following, held = 256, 9, 258, b""
-    size = 9
-    for b in data:
-        longer = held + bytes([b])
-        if longer in table:
+    # Codes are held 8 bits up, so that a code and the byte after it make a key.
+    table: dict[int, int] = {}
+    parts: list[list[int]] = []
+    codes: list[int] = []
+    following, held = 258 << 8, data[0] << 8 if data else -1
+    for b in memoryview(data)[1:]:
+        longer = table.get(held | b)
+        if longer:
             held = longer
             continue
-        bits, size = bits << width | table[held], size + width
-        table[longer] = following
-        following += 1
-        held = bytes([b])
-        if following == 4094:
-            bits, size = bits << width | 256, size + width
-            table, width, following = {bytes([i]): i for i in range(256)}, 9, 258
-        else:
-            width = max(9, following.bit_length())
-    if held:
-        bits, size = bits << width | table[held], size + width
-        width = max(9, (following + 1).bit_length())
-    bits, size = bits << width | 257, size + width
-    pad = -size % 8
-    return (bits << pad).to_bytes((size + pad) // 8, "big")
+        codes.append(held)
+        table[held | b] = following
+        following += 256
+        held = b << 8
+        if following == 4094 << 8:
+            parts.append([*codes, 256 << 8])
+            table, codes, following = {}, [], 258 << 8
+    parts.append([*codes, *([held] if data else []), 257 << 8])
+    flat = np.array([256 << 8, *(c for p in parts for c in p)], np.int32) >> 8
+    widths = np.concatenate([[9], *(_widths(len(p)) for p in parts)])
+    bits = np.unpackbits(flat.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
+
+
+#: Codes that are decoded at once; a table has no more.
+CODES = 4096
+
+
+def _run(codes: np.ndarray) -> bytes:
+    """What codes without a clear or end code stand for, from an empty table.
+
+    Code k that isn't a byte is the word of an earlier code, its ``base``, and the first byte of the word after that.
+    So words are chains of bases, and all are walked at once from their last bytes to their first.
+    """
+    order = np.arange(len(codes))
+    base = np.where(codes < 256, -1, codes - 258)
+    if (base >= order).any():
+        raise ValueError("LZW code out of range")
+    first = np.where(base < 0, order, base)
+    while (base[first] >= 0).any():
+        first = first[first]
+    tail = codes[first[np.where(base < 0, order, base + 1)]].astype(np.uint8)
+    sizes = np.zeros(len(codes), np.int64)
+    steps, words, at = [], order, order
+    while len(words):
+        steps.append((words, tail[at]))
+        sizes[words] += 1
+        at = base[at]
+        words, at = words[at >= 0], at[at >= 0]
+    ends = np.cumsum(sizes)
+    out = np.empty(sizes.sum(), np.uint8)
+    for back, (words, last) in enumerate(steps, 1):
+        out[ends[words] - back] = last
+    return out.tobytes()
+
+
+def _runs(codes: np.ndarray) -> list[bytes]:
+    """As ``_run``, in parts: codes after the first ``CODES`` only name words of those."""
+    head = codes[:CODES]
+    out = [_run(head)]
+    return out + [_run(np.concatenate([head, codes[i : i + CODES]]))[len(out[0]) :] for i in range(CODES, len(codes), CODES)]
 
 
 def unlzw(data: bytes) -> bytes:
-    table = [bytes([i]) for i in range(256)] + [b"", b""]
+    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int32)
+    triples = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     out: list[bytes] = []
-    buffer = have = 0
-    width, last = 9, b""
-    for b in data:
-        buffer, have = (buffer << 8 | b) & 0xFFFFFF, have + 8
-        if have < width:
-            continue
-        have -= width
-        code = buffer >> have & (1 << width) - 1
-        if code == 257:
+    start, most = 0, CODES
+    while (left := 8 * len(data) - start) >= 9:
+        widths = _widths(min(most, left // 9))
+        ends = np.cumsum(widths)
+        ends = ends[ends <= left]
+        widths, at = widths[: len(ends)], start + ends - widths[: len(ends)]
+        codes = triples[at >> 3] >> (24 - (at & 7) - widths) & (1 << widths) - 1
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        if not len(stops):
+            if most < left // 9:  # a table that is never cleared
+                most = left // 9
+                continue
+            out += _runs(codes)
             break
-        if code == 256:
-            del table[258:]
-            width, last = 9, b""
-            continue
-        if not last:
-            last = table[code]
-        else:
-            if code > len(table):
-                raise ValueError("LZW code out of range")
-            now = table[code] if code < len(table) else last + last[:1]
-            table.append(last + now[:1])
-            last = now
-        out.append(last)
-        width = 9 if len(table) < 511 else min(12, (len(table) + 1).bit_length())
+        out += _runs(codes[: stops[0]])
+        if codes[stops[0]] == 257:
+            break
+        start, most = start + int(ends[stops[0]]), CODES
     return b"".join(out)
 
 
